@@ -43,6 +43,7 @@ def oracle_queries() -> dict[str, str]:
 def _load() -> None:
     # importing the query modules fills the registry
     from probengine.plans import (  # noqa: F401
+        q_calibrate,
         q_clean,
         q_ensemble,
         q_models,
