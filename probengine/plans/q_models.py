@@ -1 +1,200 @@
-"""Checked queries (filled below)."""
+"""Model fits, search, stacking, effects and scenario scoring
+(M1-M8, V2-V5, V7, C6, N7, N8, X2-X5, B1, B4).
+
+Iterative fits have no SQL twin: these get the driver's rows-only check and
+pytest properties (planted coefficients, monotonicity, calibration) instead.
+B4 is a pure expression and is oracle-checked.
+
+Model sizes: the library defaults are the reference's (600 bagged trees,
+1,800 boosting rounds, 40 search candidates, 200 outcome-forest trees). The
+registered checks pass smaller sizes explicitly (``CHECK_*`` below) so a
+check finishes in about a minute on local[8]; the code path is the same.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from probengine.operators import calibrate as CAL
+from probengine.operators import effects as FX
+from probengine.operators import encode as EN
+from probengine.operators import metrics as M
+from probengine.operators import score as SC
+from probengine.operators import stack as ST
+from probengine.operators.clean import FEATURES, TARGET
+from probengine.operators.folds import stratified_folds
+from probengine.operators.models import gam as G
+from probengine.operators.models import linear as L
+from probengine.operators.models import search as S
+from probengine.operators.models import trees as T
+from probengine.operators.split import train_test
+from probengine.plans.catalog import register, round_doubles, rsql
+from probengine.plans.oracle_base import D, model_ready_ctes
+from probengine.sources import bindings as B
+
+CHECK_TREES = 40
+CHECK_ROUNDS = 40
+CHECK_CANDIDATES = 4
+CHECK_Y_TREES = 20
+
+# model features: the 15 presentation features (kicker enters via encodings)
+_CAT = "kicker_player_name"
+
+
+def _split(spark, sf):
+    mr = B.model_ready(spark, sf, with_history=True)
+    train, test, _ = train_test(mr)
+    return train, test
+
+
+def _out(df):
+    return round_doubles(df.select("attempt_id", F.col(TARGET).alias("y"), "p_make"))
+
+
+# -- M1: L2 logistic regression, balanced weights, kicker encoding ------------
+@register("m1_logreg_holdout")
+def m1(spark, sf):
+    train, test = _split(spark, sf)
+    m = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, category=_CAT)
+    return _out(m.transform(test))
+
+
+# -- M2: L1 logistic regression -----------------------------------------------
+@register("m2_l1_logreg_holdout")
+def m2(spark, sf):
+    train, test = _split(spark, sf)
+    m = L.fit_logistic(train, FEATURES, TARGET, 0.05, penalty="l1", category=_CAT)
+    return _out(m.transform(test))
+
+
+# -- M3: bootstrap-averaged logistic regression --------------------------------
+@register("m3_bootstrap_logreg_holdout")
+def m3(spark, sf):
+    train, test = _split(spark, sf)
+    ms = L.fit_bootstrap_logistic(train, FEATURES, TARGET, "attempt_id", category=_CAT)
+    return _out(L.predict_average(ms, test, "attempt_id"))
+
+
+# -- M4: bagged trees with kicker ordinal + target encoding (F3) --------------
+def _tree_frames(train, test):
+    enc, prior = EN.fit_target_encoding(train, _CAT, TARGET)
+    ords = EN.fit_ordinal(train, _CAT)
+
+    def prep(df):
+        df = EN.apply_target_encoding(df, enc, prior, _CAT, "kicker_te")
+        return EN.apply_ordinal(df, ords, _CAT, "kicker_id").withColumn(
+            "kicker_id", F.col("kicker_id").cast("double"))
+    return prep(train), prep(test), FEATURES + ["kicker_te", "kicker_id"]
+
+
+@register("m4_bagged_trees_holdout")
+def m4(spark, sf):
+    train, test = _split(spark, sf)
+    tr, te, feats = _tree_frames(train, test)
+    m = T.fit_bagging(tr, feats, TARGET, n_trees=CHECK_TREES)
+    return _out(m.transform(te))
+
+
+# -- M5: gradient-boosted trees -----------------------------------------------
+@register("m5_boosted_trees_holdout")
+def m5(spark, sf):
+    train, test = _split(spark, sf)
+    tr, te, feats = _tree_frames(train, test)
+    m = T.fit_boosting(tr, feats, TARGET, rounds=CHECK_ROUNDS)
+    return _out(m.transform(te))
+
+
+# -- M6: monotone audit + projection along distance ---------------------------
+@register("m6_monotone_distance_audit")
+def m6(spark, sf):
+    train, test = _split(spark, sf)
+    m = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C)
+    sw = T.sweep(test, "attempt_id", "kick_distance", 18.0, 67.0)
+    scored = m.transform(sw)
+    audit = T.monotone_audit(scored, "attempt_id")
+    proj = T.monotone_projection(scored, "attempt_id")
+    fixed = proj.groupBy("attempt_id").agg(F.avg("p_make_mono").alias("mean_p_mono"))
+    return round_doubles(audit.join(fixed, "attempt_id"))
+
+
+# -- M7: additive spline logistic model ---------------------------------------
+@register("m7_gam_holdout")
+def m7(spark, sf):
+    train, test = _split(spark, sf)
+    m = G.fit_gam(train, FEATURES, TARGET)
+    return _out(m.transform(test))
+
+
+# -- V1-V5, V7, C6: entry point B for logistic regression ---------------------
+@register("v2_v7_logreg_tune_calibrate_holdout")
+def v2_v7(spark, sf):
+    train, test = _split(spark, sf)
+    test = test.cache()
+    folded = stratified_folds(train, "attempt_id", TARGET)
+    cands = S.log_uniform_candidates()[:CHECK_CANDIDATES]
+    scored, best = S.tune_calibrate_predict(folded, test, FEATURES, TARGET, "kick_distance",
+                                            cands, category=_CAT)
+    met = M.metrics(scored.select(F.col(TARGET).alias("y"), F.col("p_cal").alias("p")), "p", "y")
+    return round_doubles(met.select(F.lit(best["C"]).alias("best_C"),
+                                    F.lit(best["cv_brier"]).alias("cv_brier"), "*"))
+
+
+# -- N8 + N7: stacked meta-logistic over context subsets ----------------------
+@register("n7_n8_stacked_meta_search")
+def n7(spark, sf):
+    mr = B.model_ready(spark, sf, with_history=True)
+    wide = B.wide_predictions(spark, sf)
+    stacked = wide.join(mr.select("attempt_id", "season", *ST.CONTEXT_FEATURES), "attempt_id")
+    train, test, _ = train_test(stacked)
+    probs = [f"p_{m}" for m in B.MODELS]
+    return round_doubles(ST.meta_search(train, test, probs, "y"))
+
+
+# -- X1-X5: treatment effects by cross-fitted DML -----------------------------
+@register("x2_x5_effect_summary")
+def x5(spark, sf):
+    mr = B.model_ready(spark, sf, with_history=True)
+    return round_doubles(FX.treatment_effects(mr, "attempt_id", y_trees=CHECK_Y_TREES, y_depth=8))
+
+
+# -- B1-B3 (+ C3/C4, N4): batch scenario scoring ------------------------------
+@register("b1_scenario_batch_scoring")
+def b1(spark, sf):
+    train, test = _split(spark, sf)
+    lr = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, class_balanced=False, scale=False)
+    gam = G.fit_gam(train, FEATURES, TARGET)
+    bag = T.fit_bagging(train, FEATURES, TARGET, n_trees=CHECK_TREES)
+    gbt = T.fit_boosting(train, FEATURES, TARGET, rounds=CHECK_ROUNDS)
+    models = {"bagging": bag, "boosting": gbt, "gam": gam, "logreg": lr}
+    scen = SC.validate_scenarios(test.select("attempt_id", *FEATURES))
+    cur_train, cur = train, scen
+    for name, m in models.items():
+        # in-sample calibrators per inclusive distance bucket (the presentation flow)
+        raw = m.transform(cur_train.select(TARGET, *FEATURES), out="p_raw")
+        cal = CAL.fit_inclusive(raw, "kick_distance", "p_raw", TARGET)
+        cur = CAL.apply_inclusive(m.transform(cur, out="p_raw"), cal, "kick_distance", "p_raw",
+                                  f"p_{name}").drop("p_raw")
+    out = cur.withColumn("p_make", SC.fixed_blend(SC.PRESENTATION_WEIGHTS))
+    out = SC.make_miss(out, "p_make")
+    return round_doubles(out.select("attempt_id", *[f"p_{m}" for m in models], "p_make",
+                                    "p_miss", "pred_make", "violations"))
+
+
+# -- B4 + P21: scenario validation (defaults and range violations) ------------
+_RULE_COLS = [c for c, *_ in SC.SCENARIO_RULES]
+
+
+@register("b4_scenario_validation", rsql(f"""WITH {model_ready_ctes(True)},
+s AS (SELECT attempt_id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), {D(d)}) AS {c}" for c, _, _, d in SC.SCENARIO_RULES)},
+      CASE WHEN season_type_binary = 1 THEN 'Postseason' ELSE 'Regular' END AS season_type FROM mr)
+SELECT attempt_id, {", ".join(_RULE_COLS)},
+  CAST(coalesce(season_type = 'Postseason', false) AS INTEGER) AS season_type_binary,
+  list_filter([{", ".join(f"CASE WHEN {c} < {D(lo)} OR {c} > {D(hi)} THEN '{c}' END" for c, lo, hi, _ in SC.SCENARIO_RULES)}], lambda x: x IS NOT NULL) AS violations
+FROM s""", _RULE_COLS))
+def b4(spark, sf):
+    mr = B.model_ready(spark, sf, with_history=True)
+    scen = mr.select("attempt_id", *_RULE_COLS,
+                     F.when(F.col("season_type_binary") == 1, "Postseason").otherwise("Regular")
+                     .alias("season_type"))
+    out = SC.encode_choices(SC.validate_scenarios(scen))
+    return round_doubles(out.select("attempt_id", *_RULE_COLS, "season_type_binary", "violations"))
