@@ -88,17 +88,24 @@ def oof_target_encode(df: DataFrame, key: str, y_make: str, fold: str = "fold",
               .drop("_enc", "_prior"))
 
 
-def fit_ordinal(train: DataFrame, key: str) -> DataFrame:
+def fit_ordinal(train: DataFrame, key: str, n_ranges: int | None = None) -> DataFrame:
     """W4 fit: sorted distinct values -> 0..k-1 (``OrdinalEncoder``).
 
-    A dense rank over distinct values needs a global order; the distinct
-    table is range-partitioned by ``orderBy`` and numbered with
-    ``zipWithIndex``, which counts each partition and adds offsets — the
-    numbering is spread over all partitions, never one task."""
-    distinct = train.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    A dense rank needs a global order, but never in one task: the distinct
+    values are range-partitioned (sampled bounds), numbered inside each range
+    partition by a window on the partition id, and shifted by the counts of
+    the lower partitions (a table of ``n_ranges`` rows)."""
     spark = train.sparkSession
-    rdd = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
-    return spark.createDataFrame(rdd, f"{key} {dict(train.dtypes)[key]}, ordinal long")
+    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = train.select(key).where(F.col(key).isNotNull()).distinct()
+    ranged = distinct.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id())
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_pid", F.coalesce(
+        F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(key)) - 1)
+    return (numbered.join(F.broadcast(offsets), "_pid")
+            .select(key, (F.col("_off") + F.col("_rn")).cast("long").alias("ordinal")))
 
 
 def apply_ordinal(df: DataFrame, mapping: DataFrame, key: str, out: str = "kicker_id") -> DataFrame:

@@ -33,19 +33,20 @@ def career_to_date(df: DataFrame, actor: str, block: str, tiebreak: Sequence[str
     (+ prior), W3: their zero-safe ratio. Order within an actor is
     ``(block, *tiebreak)``; the tie-breakers make it deterministic."""
     prev = Window.unboundedPreceding
-    blocks = (df.groupBy(actor, block)
+    w_in = Window.partitionBy(actor, block).orderBy(*tiebreak)
+    rows = df.withColumns({
+        "_in_n": F.row_number().over(w_in) - 1,
+        "_in_y": F.coalesce(F.sum(y).over(w_in.rowsBetween(prev, -1)), F.lit(0)),
+    })
+    # block totals from the same (actor, block)-partitioned rows: the shuffle
+    # below the window is reused, so the input is scanned once
+    blocks = (rows.groupBy(actor, block)
               .agg(F.count(F.lit(1)).alias("_bn"), F.sum(y).alias("_by")))
     w_blk = Window.partitionBy(actor).orderBy(block).rowsBetween(prev, -1)
     blocks = blocks.select(
         actor, block,
         F.coalesce(F.sum("_bn").over(w_blk), F.lit(0)).alias("_off_n"),
         F.coalesce(F.sum("_by").over(w_blk), F.lit(0)).alias("_off_y"))
-
-    w_in = Window.partitionBy(actor, block).orderBy(*tiebreak)
-    rows = df.withColumns({
-        "_in_n": F.row_number().over(w_in) - 1,
-        "_in_y": F.coalesce(F.sum(y).over(w_in.rowsBetween(prev, -1)), F.lit(0)),
-    })
     out = rows.join(blocks, on=[actor, block], how="inner")
     pa = F.col(prior_attempts) if prior_attempts else F.lit(0)
     pm = F.col(prior_makes) if prior_makes else F.lit(0)

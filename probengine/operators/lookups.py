@@ -30,8 +30,8 @@ class LookupTable:
         self.bounded_rows = bounded_rows
 
     @classmethod
-    def from_rows(cls, spark: SparkSession, rows: Sequence[tuple], schema: StructType | str):
-        return cls(spark.createDataFrame(list(rows), schema), bounded_rows=len(rows))
+    def from_rows(cls, spark: SparkSession, rows: Sequence[tuple], schema: str):
+        return cls(literal_table(spark, rows, schema), bounded_rows=len(rows))
 
     def side(self) -> DataFrame:
         if self.bounded_rows is not None and self.bounded_rows <= LITERAL_BROADCAST_MAX_ROWS:
@@ -39,6 +39,17 @@ class LookupTable:
         return self.df
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table from literal rows, built inside Catalyst
+    (``inline(array(struct(...)))``): no Python RDD, no Python worker.
+    ``schema`` is a DDL string such as ``"a string, b int"``."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(fields, r)]) for r in rows]
+    if not structs:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _as_lookup(t: LookupTable | DataFrame) -> LookupTable:
     return t if isinstance(t, LookupTable) else LookupTable(t)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probengine.functions.columns import linspace_bin
+from probengine.operators.lookups import literal_table
 
 # Fixed values that must equal the reference's for equal results.
 DISTANCE_EDGES = (0, 29, 39, 49, 100)          # pandas.cut, right-closed
@@ -78,7 +79,7 @@ def bucket_profile(df: DataFrame, col: str, y: str, spark: SparkSession,
     # at most len(labels) + 1 rows (the NULL bucket counts in the total)
     agg = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"),
                                   F.avg(F.col(y).cast("double")).alias("rate"))
-    lab = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "ord int, bucket string")
+    lab = literal_table(spark, [(i, l) for i, l in enumerate(labels)], "ord int, bucket string")
     total = agg.agg(F.sum("count").alias("_t")).withColumn("_k", F.lit(0))
     out = (F.broadcast(lab).withColumn("_k", F.lit(0))
            .join(agg.where(F.col("bucket").isNotNull()).drop("_t"), "bucket", "left")
