@@ -170,3 +170,13 @@ def p20_cast(spark, sf):
         "p_partkey", lenient_double("p_brand").alias("brand_raw"),
         lenient_double(F.substring("p_brand", 7, 100)).alias("brand_no"),
         lenient_double("p_type").alias("type_num")))
+
+
+# -- W1-W3 as a stream: stateless cleaning + keyed state per actor ------------
+@register("st_streaming_career_to_date", rsql(f"""WITH {model_ready_ctes(False)}
+SELECT attempt_id, kicker_player_id, game_date, career_attempts, career_makes, career_fg_pct
+FROM mr""", ["career_attempts", "career_makes", "career_fg_pct"]))
+def st_career(spark, sf):
+    from probengine.streaming.career_stream import career_stream, run_to_table, stream_attempts
+    out = run_to_table(career_stream(stream_attempts(spark, sf)))
+    return round_doubles(out)

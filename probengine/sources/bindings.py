@@ -58,11 +58,14 @@ WEATHER_BY_NATION_MOD6 = {0: "Light Rain", 1: "Snow Flurries", 2: "Sunny, light
 
 def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw attempt rows with the reference's raw column names."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-        "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return attempts_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def attempts_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """The binding on given ``orders`` (batch or streaming) and ``customer``."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                      "o_orderpriority")
+    c = customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     price = F.col("o_totalprice")
     whole = _ipart(price)
