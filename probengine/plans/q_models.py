@@ -198,3 +198,18 @@ def b4(spark, sf):
                      .alias("season_type"))
     out = SC.encode_choices(SC.validate_scenarios(scen))
     return round_doubles(out.select("attempt_id", *_RULE_COLS, "season_type_binary", "violations"))
+
+
+# -- F5 + F6 + M1 + S8 + B1: persisted one-hot pipeline, reloaded to score ----
+@register("f5_f6_s8_onehot_pipeline_scoring")
+def f5_s8(spark, sf):
+    import uuid
+
+    from probengine.session import ensure_checkpoint_dir
+    from probengine.sources.sinks import load_model, save_model
+    train, test = _split(spark, sf)
+    model = L.fit_scoring_pipeline(train, [_CAT], FEATURES, TARGET, L.TUNED_C)
+    path = f"{ensure_checkpoint_dir(spark)}/models/onehot-{uuid.uuid4().hex[:8]}"
+    save_model(model, path)
+    scored = L.probability(load_model(path).transform(test))
+    return _out(scored)
