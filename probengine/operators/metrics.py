@@ -70,8 +70,10 @@ def metrics(df: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
     """The all-in-one record per group — Brier, AUC, PR-AUC of misses,
     ECE@10 and the confusion counts at 0.5.
 
-    Three aggregations over the rows (the Brier/confusion pass, the ECE bins,
-    the score curve); the per-group results are tiny and joined on ``by``."""
+    Two aggregations over the rows (Brier, confusion and ECE bins in one; the
+    score curve in the other); the per-group results are tiny and joined on
+    ``by``. Callers that reuse an expensive input cut its lineage first
+    (``session.cut_lineage``) so the two passes do not recompute it."""
     by = list(by)
     if not by:
         return metrics(df.withColumn("_g", F.lit(0)), p, y, ["_g"], digits).drop("_g")
@@ -81,14 +83,23 @@ def metrics(df: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
     def cnt(c):
         return F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
-    base = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"),
-        cnt(~hat & ~pos).alias("tn"), cnt(hat & ~pos).alias("fp"),
-        cnt(~hat & pos).alias("fn"), cnt(hat & pos).alias("tp"))
+    # one pass for Brier, confusion and the ECE bins: aggregate per (group, bin),
+    # then roll the (at most 11 per group) bin rows up to the group
+    bins = (df.select(*by, p, y, linspace_bin(p, ECE_BINS, closed_last=False).alias("_bin"))
+            .groupBy(*by, "_bin").agg(
+                F.count(F.lit(1)).alias("_n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_se"),
+                F.avg(p).alias("_mp"), F.avg(F.col(y).cast("double")).alias("_my"),
+                cnt(~hat & ~pos).alias("tn"), cnt(hat & ~pos).alias("fp"),
+                cnt(~hat & pos).alias("fn"), cnt(hat & pos).alias("tp")))
+    base = bins.groupBy(*by).agg(
+        F.sum("_n").alias("n"), (F.sum("_se") / F.sum("_n")).alias("brier"),
+        F.sum("tn").alias("tn"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        F.sum("tp").alias("tp"),
+        (F.sum(F.when(F.col("_bin").isNotNull(), F.col("_n") * F.abs(F.col("_mp") - F.col("_my")))
+               .otherwise(F.lit(0.0))) / F.sum("_n")).alias("ece10"))
     ranks = auc_ap(df, p, y, by, digits)
-    cal = ece(df, p, y, by)
-    return base.join(ranks, by, "left").join(cal, by, "left")
+    return base.join(ranks, by, "left").select(*by, "n", "brier", "tn", "fp", "fn", "tp", "auc",
+                                               "pr_miss", "ece10")
 
 
 def miss_threshold_fractions(df: DataFrame, p: str = "p", y: str = "y",

@@ -14,19 +14,21 @@ from probengine.operators import calibrate as C
 from probengine.operators.clean import TARGET
 from probengine.plans.catalog import register, round_doubles, rsql
 from probengine.plans.oracle_base import D, model_ready_ctes, synthetic_p_sql
+from probengine.session import cut_lineage
 from probengine.sources import bindings as B
 
 
 def _cal_input(spark, sf):
     mr = B.model_ready(spark, sf, with_history=True)
     y = F.col(TARGET)
-    return mr.select(
+    # read by the range counts, one fit per range and the apply pass
+    return cut_lineage(mr.select(
         "attempt_id",
         F.col("kick_distance").alias("dist"),
         (F.col("kick_distance") + F.when(F.col("vegas_wp_effective") > 0.9, F.lit(0.5))
          .otherwise(F.lit(0.0))).alias("dist_c3"),
         F.round(B.synthetic_p("logreg", F.col("attempt_id"), y), 1).alias("x"),
-        y.alias("y"))
+        y.alias("y")))
 
 
 _INPUT = f"""WITH {model_ready_ctes(True)},

@@ -12,6 +12,7 @@ from probengine.operators.clean import TARGET
 from probengine.operators.split import train_test
 from probengine.plans.catalog import register, round_doubles, rsql
 from probengine.plans.oracle_base import D, metrics_sql, model_ready_ctes, uniform_sql
+from probengine.session import cut_lineage
 from probengine.sources import bindings as B
 
 _SPLIT = f"""WITH {model_ready_ctes(True)},
@@ -36,7 +37,7 @@ def flagship_holdout_metrics(spark, sf):
     train, test = _split(spark, sf)
     enc = EN.target_encode(train, test, "kicker_player_name", TARGET, out="kicker_te")
     scored = enc.select(F.col(TARGET).alias("y"), (F.lit(1.0) - F.col("kicker_te")).alias("p"))
-    return round_doubles(M.metrics(scored, "p", "y"))
+    return round_doubles(M.metrics(cut_lineage(scored), "p", "y"))
 
 
 register("f1_e6_flagship_holdout_metrics", rsql(f"""{_SPLIT},
@@ -87,7 +88,7 @@ SELECT f.attempt_id, f.fold, coalesce(e.enc, fp.prior) AS kicker_te
 FROM f LEFT JOIN e ON f.k = e.k AND f.fold = e.fold LEFT JOIN fp ON f.fold = fp.fold""", ["kicker_te"]))
 def f2_oof(spark, sf):
     train, _ = _split(spark, sf)
-    folded = FO.stratified_folds(train, "attempt_id", TARGET)
+    folded = cut_lineage(FO.stratified_folds(train, "attempt_id", TARGET))
     out = EN.oof_target_encode(folded, "kicker_player_name", TARGET, "fold", "kicker_te")
     return round_doubles(out.select("attempt_id", "fold", "kicker_te"))
 
