@@ -37,28 +37,27 @@ def score_curve(df: DataFrame, score: Column | str, label: Column | str,
     sc = F.col(score) if isinstance(score, str) else score
     lb = F.col(label) if isinstance(label, str) else label
     by = list(by)
-    pts = (df.select(*by, F.round(sc.cast("double"), digits).alias("s"),
-                     lb.cast("long").alias("_y"))
-           .groupBy(*by, "s")
-           .agg(F.sum("_y").alias("n_pos"),
-                F.sum(1 - F.col("_y")).alias("n_neg"))
-           .withColumn("_blk", F.floor(F.col("s") * F.lit(float(block_scale)))))
-
-    prev_blocks = (Window.partitionBy(*by).orderBy("_blk")
-                   .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = (pts.groupBy(*by, "_blk")
-              .agg(F.sum("n_pos").alias("_bp"), F.sum("n_neg").alias("_bn"))
-              .select(*by, "_blk",
-                      F.coalesce(F.sum("_bp").over(prev_blocks), F.lit(0)).alias("_op"),
-                      F.coalesce(F.sum("_bn").over(prev_blocks), F.lit(0)).alias("_on")))
-
-    prev_in_block = (Window.partitionBy(*by, "_blk").orderBy("s")
-                     .rowsBetween(Window.unboundedPreceding, -1))
+    prev = Window.unboundedPreceding
+    # aggregate first (map-side partial aggregation: a hot score costs one row
+    # per task before the shuffle), then the distinct scores are partitioned
+    # by (group, block); the in-block window and the block totals reuse that
+    rows = (df.select(*by, F.round(sc.cast("double"), digits).alias("s"),
+                      lb.cast("long").alias("_y"))
+            .withColumn("_blk", F.floor(F.col("s") * F.lit(float(block_scale)))))
+    pts = (rows.groupBy(*by, "_blk", "s").agg(F.sum("_y").alias("n_pos"),
+                                              F.sum(1 - F.col("_y")).alias("n_neg"))
+           .repartition(*by, "_blk"))
+    prev_in_block = Window.partitionBy(*by, "_blk").orderBy("s").rowsBetween(prev, -1)
     inner = pts.select(
         *by, "_blk", "s", "n_pos", "n_neg",
         F.coalesce(F.sum("n_pos").over(prev_in_block), F.lit(0)).alias("_ip"),
         F.coalesce(F.sum("n_neg").over(prev_in_block), F.lit(0)).alias("_in"))
-
+    prev_blocks = Window.partitionBy(*by).orderBy("_blk").rowsBetween(prev, -1)
+    blocks = (inner.groupBy(*by, "_blk")
+              .agg(F.sum("n_pos").alias("_bp"), F.sum("n_neg").alias("_bn"))
+              .select(*by, "_blk",
+                      F.coalesce(F.sum("_bp").over(prev_blocks), F.lit(0)).alias("_op"),
+                      F.coalesce(F.sum("_bn").over(prev_blocks), F.lit(0)).alias("_on")))
     return (inner.join(blocks, on=[*by, "_blk"], how="inner")
             .select(*by, "s", "n_pos", "n_neg",
                     (F.col("_op") + F.col("_ip")).alias("pos_below"),
