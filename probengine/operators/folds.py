@@ -18,24 +18,28 @@ SEED = 42
 
 
 def stratified_folds(df: DataFrame, key: str, y: str, n_folds: int = N_FOLDS,
-                     seed: int = SEED, out: str = "fold") -> DataFrame:
+                     seed: int = SEED, out: str = "fold", n_buckets: int | None = None) -> DataFrame:
     """V1 — class-balanced folds: within each class, rows in md5 order are
     dealt round-robin to the folds (fold sizes per class differ by <= 1).
 
     The window is partitioned by class *and* by a hash bucket of the row, so
     no class ever sits in one task: ``n_buckets`` buckets per class, each
     dealt round-robin, starting at an offset that continues where the
-    previous bucket stopped (offsets come from the tiny per-bucket count
-    table)."""
+    previous bucket stopped (offsets come from the per-bucket count table,
+    classes x buckets rows). The bucket count only sets the parallelism —
+    the folds are the same for any value — and defaults to four buckets per
+    shuffle partition, so it grows with the cluster."""
     h = hash_uniform(f"fold{seed}", F.col(key))
-    n_buckets = 64
+    if n_buckets is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_buckets = max(64, 4 * parts)
     tagged = df.withColumns({"_h": h, "_bk": F.floor(h * F.lit(float(n_buckets))).cast("int")})
     counts = tagged.groupBy(y, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     w_prev = Window.partitionBy(y).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(y, "_bk", F.coalesce(F.sum("_c").over(w_prev), F.lit(0)).alias("_off"))
     w = Window.partitionBy(y, "_bk").orderBy("_h", key)
     out_df = (tagged.withColumn("_rn", F.row_number().over(w) - 1)
-              .join(F.broadcast(offsets), on=[y, "_bk"], how="inner")
+              .join(offsets, on=[y, "_bk"], how="inner")
               .withColumn(out, ((F.col("_off") + F.col("_rn")) % n_folds).cast("int")))
     return out_df.drop("_h", "_bk", "_rn", "_off")
 

@@ -109,10 +109,17 @@ def grouped_rate(df: DataFrame, key: str, flag_col: str) -> DataFrame:
                                F.count(F.lit(1)).alias("count"))
 
 
-def class_profile(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def class_profile(df: DataFrame, p: str, y: str, by: Sequence[str] = (),
+                  exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """E8 (A10, A11): per group and true class: count, mean, population std,
-    min, exact linearly interpolated p10/25/50/75/90, max."""
-    q = F.percentile(F.col(p), F.array(*[F.lit(x) for x in PERCENTILES]))
+    min, p10/25/50/75/90, max.
+
+    ``exact`` gives numpy's linear interpolation (``percentile``), which keeps
+    the distinct values of a group in one task's memory; for groups too large
+    for that, ``exact=False`` uses ``percentile_approx`` (bounded sketch,
+    rank error about 1/accuracy)."""
+    qs = F.array(*[F.lit(x) for x in PERCENTILES])
+    q = F.percentile(F.col(p), qs) if exact else F.percentile_approx(F.col(p), qs, accuracy)
     agg = df.groupBy(*by, y).agg(
         F.count(F.lit(1)).alias("count"), F.avg(p).alias("mean"),
         F.stddev_pop(p).alias("std"), F.min(p).alias("min"), q.alias("_q"),
