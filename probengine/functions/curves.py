@@ -76,7 +76,9 @@ def auc_ap(df: DataFrame, score: Column | str, label: Column | str,
     cur = score_curve(df, score, label, by, digits)
     n_at = (F.col("neg_below") + F.col("n_neg"))
     all_at = n_at + F.col("pos_below") + F.col("n_pos")
+    # a group with a single class has no AUC / AP: NULL (ANSI-safe division)
     return (cur.groupBy(*by).agg(
-        (F.sum(F.col("n_pos") * (F.col("neg_below") + F.col("n_neg") / F.lit(2.0)))
-         / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"),
-        (F.sum(F.col("n_neg") * (n_at / all_at)) / F.sum("n_neg")).alias("pr_miss")))
+        F.try_divide(F.sum(F.col("n_pos") * (F.col("neg_below") + F.col("n_neg") / F.lit(2.0))),
+                     (F.sum("n_pos") * F.sum("n_neg")).cast("double")).alias("auc"),
+        F.try_divide(F.sum(F.col("n_neg") * (n_at / all_at)),
+                     F.sum("n_neg").cast("double")).alias("pr_miss")))

@@ -75,7 +75,8 @@ def oof_target_encode(df: DataFrame, key: str, y_make: str, fold: str = "fold",
     all_n = F.sum("fn").over(Window.partitionBy())
     all_m = F.sum("fm").over(Window.partitionBy())
     # one row per fold (bounded by the number of folds): the fold's train prior
-    f_prior = f_tot.select(fold, ((all_m - F.col("fm")) / (all_n - F.col("fn"))).alias("_prior"))
+    f_prior = f_tot.select(fold, F.try_divide(all_m - F.col("fm"),
+                                              (all_n - F.col("fn")).cast("double")).alias("_prior"))
     enc = (kf.join(k_tot, key)
              .join(F.broadcast(f_prior), fold)
              .select(key, fold, "_prior",

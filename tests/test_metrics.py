@@ -93,3 +93,10 @@ def test_threshold_fractions(spark):
     df = _df(spark, [(0.55, 0), (0.65, 0), (0.95, 0), (0.1, 1)])
     got = {r.threshold: r.frac for r in M.miss_threshold_fractions(df, "p", "y").collect()}
     assert got == {0.6: 1 / 3, 0.7: 2 / 3, 0.8: 2 / 3, 0.9: 2 / 3}
+
+
+def test_single_class_group_gives_null_not_error(spark):
+    df = spark.createDataFrame([("a", 0.3, 1), ("a", 0.6, 1), ("b", 0.2, 0), ("b", 0.7, 1)],
+                               "g string, p double, y int")
+    got = {r.g: (r.auc, r.pr_miss) for r in M.metrics(df, "p", "y", ["g"]).collect()}
+    assert got["a"] == (None, None) and got["b"][0] == 1.0
