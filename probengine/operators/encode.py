@@ -72,11 +72,11 @@ def oof_target_encode(df: DataFrame, key: str, y_make: str, fold: str = "fold",
     kf = target_stats(df, key, y_make, by=[fold])
     k_tot = kf.groupBy(key).agg(F.sum("n").alias("kn"), F.sum("misses").alias("km"))
     f_tot = kf.groupBy(fold).agg(F.sum("n").alias("fn"), F.sum("misses").alias("fm"))
-    all_n = F.sum("fn").over(Window.partitionBy())
-    all_m = F.sum("fm").over(Window.partitionBy())
     # one row per fold (bounded by the number of folds): the fold's train prior
-    f_prior = f_tot.select(fold, F.try_divide(all_m - F.col("fm"),
-                                              (all_n - F.col("fn")).cast("double")).alias("_prior"))
+    tot = f_tot.agg(F.sum("fn").alias("_an"), F.sum("fm").alias("_am")).withColumn("_k", F.lit(0))
+    f_prior = (f_tot.withColumn("_k", F.lit(0)).join(F.broadcast(tot), "_k")
+               .select(fold, F.try_divide(F.col("_am") - F.col("fm"),
+                                          (F.col("_an") - F.col("fn")).cast("double")).alias("_prior")))
     enc = (kf.join(k_tot, key)
              .join(F.broadcast(f_prior), fold)
              .select(key, fold, "_prior",

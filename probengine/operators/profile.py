@@ -49,10 +49,12 @@ def flag_rate(df: DataFrame, flag_col: str, by: Sequence[str] = ()) -> DataFrame
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """A4: counts per value including NULL, and % of all rows. The total is
-    a window over the (small) counts table, not over the rows."""
+    a one-row aggregate of the counts table, broadcast back (the counts table
+    itself can be as large as the number of distinct values)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("pct", F.col("count") * F.lit(100.0) / total)
+    total = counts.agg(F.sum("count").alias("_t")).withColumn("_k", F.lit(0))
+    return (counts.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k")
+            .select(col, "count", (F.col("count") * F.lit(100.0) / F.col("_t")).alias("pct")))
 
 
 def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:

@@ -30,6 +30,7 @@ from probengine.operators.models import trees as T
 from probengine.operators.split import train_test
 from probengine.plans.catalog import register, round_doubles, rsql
 from probengine.plans.oracle_base import D, model_ready_ctes
+from probengine.session import cut_lineage
 from probengine.sources import bindings as B
 
 CHECK_TREES = 40
@@ -42,7 +43,9 @@ _CAT = "kicker_player_name"
 
 
 def _split(spark, sf):
-    mr = B.model_ready(spark, sf, with_history=True)
+    # the cleaned table feeds several jobs (split, encodings, moments, fits):
+    # written once to the checkpoint folder instead of recomputed per job
+    mr = cut_lineage(B.model_ready(spark, sf, with_history=True))
     train, test, _ = train_test(mr)
     return train, test
 

@@ -26,7 +26,9 @@ enc AS (SELECT st.kicker_player_name,
 
 
 def _split(spark, sf):
-    mr = B.model_ready(spark, sf, with_history=True)
+    # the cleaned table feeds several jobs (split, encodings, moments, fits):
+    # written once to the checkpoint folder instead of recomputed per job
+    mr = cut_lineage(B.model_ready(spark, sf, with_history=True))
     train, test, _ = train_test(mr)
     return train, test
 
