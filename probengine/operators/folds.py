@@ -53,18 +53,18 @@ def hash_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = SEED
 
 
 def poisson_multiplicity(key: Column, replicate: Column, seed: int = SEED,
-                         max_k: int = 12) -> Column:
+                         max_k: int = 12, rate: float = 1.0) -> Column:
     """V6 — bootstrap multiplicity of a row in one replicate, Poisson(1)
     by inverse CDF of a portable uniform. Resampling n of n with replacement
     is Multinomial(n, 1/n) per row ~ Poisson(1): weights instead of copied
     rows, so no row is duplicated and nothing shuffles."""
     u = hash_uniform(f"boot{seed}", F.concat_ws("|", key.cast("string"), replicate.cast("string")))
     import math
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
+    cdf, acc, term = [], 0.0, math.exp(-rate)
     for k in range(max_k):
         acc += term
         cdf.append(acc)
-        term = term / (k + 1)
+        term = term * rate / (k + 1)
     expr = F.when(u < F.lit(cdf[0]), F.lit(0))
     for k in range(1, max_k):
         expr = expr.when(u < F.lit(cdf[k]), F.lit(k))
