@@ -147,7 +147,8 @@ def v2_v7(spark, sf):
 def n7(spark, sf):
     mr = B.model_ready(spark, sf, with_history=True)
     wide = B.wide_predictions(spark, sf)
-    stacked = wide.join(mr.select("attempt_id", "season", *ST.CONTEXT_FEATURES), "attempt_id")
+    stacked = cut_lineage(wide.join(mr.select("attempt_id", "season", *ST.CONTEXT_FEATURES),
+                                    "attempt_id"))     # read by every Newton pass
     train, test, _ = train_test(stacked)
     probs = [f"p_{m}" for m in B.MODELS]
     return round_doubles(ST.meta_search(train, test, probs, "y"))
