@@ -15,7 +15,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Lookup tables built from a literal mapping are broadcast only up to this
 # many rows; larger ones take the normal (AQE-planned) join.

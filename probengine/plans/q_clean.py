@@ -6,11 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probengine.functions.columns import (
-    clip_prob,
     contains_flag,
     lenient_double,
     normalise_text,
-    not_finite,
     recode,
     rlike_flag,
 )
