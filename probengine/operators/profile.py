@@ -158,3 +158,31 @@ def normal_curves(moments: DataFrame, by: Sequence[str], y: str, spark: SparkSes
     peak = F.max("density").over(Window.partitionBy(*by))
     return curves.withColumn("density_norm", F.when(peak > 0, F.col("density") / peak)
                              .otherwise(F.col("density"))).select(*by, y, "i", "x", "density_norm")
+
+
+def dimension_profile(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
+    """A4 + A7 for several dimensions in one pass: a GROUPING SETS
+    aggregation (one set per dimension) gives, per (dimension, value), the
+    count, its % of all rows and the mean of ``y``. NULL values are their
+    own group; ``grouping_id`` tells which dimension a row belongs to."""
+    sets = [[d] for d in dims]
+    agg = df.groupingSets(sets, *dims).agg(
+        F.grouping_id(*dims).alias("_gid"), F.count(F.lit(1)).alias("count"),
+        F.avg(F.col(y).cast("double")).alias("rate"))
+    n = len(dims)
+    # grouping_id has a 1 bit for every dimension *not* in the set
+    name = None
+    value = None
+    for i, d in enumerate(dims):
+        gid = (1 << n) - 1 - (1 << (n - 1 - i))
+        cond = F.col("_gid") == F.lit(gid)
+        name = F.when(cond, F.lit(d)) if name is None else name.when(cond, F.lit(d))
+        v = F.col(d).cast("string")
+        value = F.when(cond, v) if value is None else value.when(cond, v)
+    out = agg.select(name.alias("dimension"), value.alias("value"), "count", "rate")
+    # any one dimension's groups add up to all rows: no second scan of df
+    total = (out.where(F.col("dimension") == F.lit(dims[0])).agg(F.sum("count").alias("_t"))
+             .withColumn("_k", F.lit(0)))
+    return (out.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k")
+            .select("dimension", "value", "count",
+                    (F.col("count") * F.lit(100.0) / F.col("_t")).alias("pct"), "rate"))

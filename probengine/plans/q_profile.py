@@ -175,3 +175,20 @@ def e11_curves(spark, sf):
     mo = pt.groupBy("model", "y").agg(F.avg("p_make").alias("mean"),
                                       F.stddev_pop("p_make").alias("std"))
     return round_doubles(PR.normal_curves(mo, ["model"], "y", spark))
+
+
+# -- A4 + A7 over several dimensions: one GROUPING SETS pass ------------------
+_DIMS = ["roof_binary", "surface_binary", "season_type_binary", "is_rain", "is_snow",
+         "is_4th_qtr", "buzzer_beater_binary"]
+
+
+@register("a4_a7_dimension_profile", rsql(f"""WITH {model_ready_ctes(True)},
+g AS (SELECT {", ".join(_DIMS)}, GROUPING_ID({", ".join(_DIMS)}) AS gid, count(*) AS count,
+        avg(CAST(field_goal_result_binary AS DOUBLE)) AS rate
+      FROM mr GROUP BY GROUPING SETS ({", ".join(f"({d})" for d in _DIMS)}))
+SELECT CASE {" ".join(f"WHEN gid = {(1 << len(_DIMS)) - 1 - (1 << (len(_DIMS) - 1 - i))} THEN '{d}'" for i, d in enumerate(_DIMS))} END AS dimension,
+  CASE {" ".join(f"WHEN gid = {(1 << len(_DIMS)) - 1 - (1 << (len(_DIMS) - 1 - i))} THEN CAST({d} AS VARCHAR)" for i, d in enumerate(_DIMS))} END AS value,
+  count, count * CAST(100 AS DOUBLE) / (SELECT count(*) FROM mr) AS pct, rate
+FROM g""", ["pct", "rate"]))
+def a4_a7_dims(spark, sf):
+    return round_doubles(PR.dimension_profile(_mr(spark, sf), _DIMS, "field_goal_result_binary"))
