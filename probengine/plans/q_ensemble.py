@@ -99,7 +99,8 @@ SELECT top.*, met.n, met.brier, met.tn, met.fp, met.fn, met.tp, met.auc, met.pr_
 FROM top JOIN met ON top.weight_id = met.weight_id""",
                                            [f"w_{m}" for m in MODELS] + ["brier_gram"] + _MET))
 def n3_weighted(spark, sf):
-    return round_doubles(EN.weighted_search(_wide(spark, sf), MODELS))
+    # align() already checkpointed the wide table while checking the contract
+    return round_doubles(EN.weighted_search(_wide(spark, sf), MODELS, cut=False))
 
 
 def _subset_rows():
@@ -129,7 +130,7 @@ SELECT top.*, met.n, met.brier, met.tn, met.fp, met.fn, met.tp, met.auc, met.pr_
 FROM top JOIN met ON top.subset_id = met.subset_id""",
                                         [f"w_{m}" for m in MODELS] + ["brier_gram"] + _MET))
 def n1_equal(spark, sf):
-    return round_doubles(EN.equal_weight_search(_wide(spark, sf), MODELS))
+    return round_doubles(EN.equal_weight_search(_wide(spark, sf), MODELS, cut=False))
 
 
 # -- N6: diagnostics of the best weighted blend (E8 + E9 on the winner) ------
@@ -146,7 +147,7 @@ SELECT prof.*, {", ".join(f"thr.frac_{int(t * 100)}" for t in M.MISS_THRESHOLDS)
                                         + [f"frac_{int(t * 100)}" for t in M.MISS_THRESHOLDS]))
 def n6_best(spark, sf):
     wide = _wide(spark, sf)
-    top = EN.weighted_search(wide, MODELS)
+    top = EN.weighted_search(wide, MODELS, cut=False)
     best = top.orderBy("rank").first().asDict()
     bl = EN.best_blend(wide, best, MODELS)
     prof = PR.class_profile(bl, "p_make", "y")
