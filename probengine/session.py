@@ -32,6 +32,7 @@ def get_spark(app: str = "probengine", cpus: str | int | None = None,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint, not from the whole plan. Never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``probengine`` importable in the Python workers (pandas UDFs,
+    ``mapInPandas``, ``applyInPandas`` reference its functions). The package
+    is zipped once per application on the driver and distributed with
+    ``SparkContext.addPyFile`` — the usual way to ship Python code to
+    executors, whatever the worker's working directory."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import probengine
+    root = os.path.dirname(os.path.dirname(os.path.abspath(probengine.__file__)))
+    staging = tempfile.mkdtemp(prefix="probengine-pkg-")   # driver-side upload staging only
+    path = os.path.join(staging, "probengine.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "probengine")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -58,6 +58,8 @@ def stream_attempts(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1
 
 def career_stream(attempts: DataFrame) -> DataFrame:
     """Streaming W1-W3 (without prior history) over non-blocked attempts."""
+    from probengine.session import ship_package
+    ship_package(attempts.sparkSession)
     df = clean.where_not_equal_keep_null(attempts, "field_goal_result", clean.BLOCKED)
     df = df.select("attempt_id", "kicker_player_id", "game_date", "play_id",
                    (F.col("field_goal_result") == "made").cast("long").alias("y"))
