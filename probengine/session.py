@@ -55,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 ROWS_PER_PARTITION = 1_000_000
-MIN_ROWS_PER_TASK = 20_000
+MIN_ROWS_PER_TASK = 5_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
