@@ -100,3 +100,15 @@ def test_single_class_group_gives_null_not_error(spark):
                                "g string, p double, y int")
     got = {r.g: (r.auc, r.pr_miss) for r in M.metrics(df, "p", "y", ["g"]).collect()}
     assert got["a"] == (None, None) and got["b"][0] == 1.0
+
+
+def test_dimension_profile_grouping_sets(spark):
+    df = spark.createDataFrame([(1, 0, 1), (1, None, 0), (0, 1, 1), (0, 1, 1)],
+                               "roof int, rain int, y int")
+    got = {(r.dimension, r.value): (r["count"], r.pct, r.rate)
+           for r in PR.dimension_profile(df, ["roof", "rain"], "y").collect()}
+    assert got[("roof", "1")] == (2, 50.0, 0.5)
+    assert got[("roof", "0")] == (2, 50.0, 1.0)
+    assert got[("rain", None)] == (1, 25.0, 0.0)       # NULL is its own value
+    assert got[("rain", "1")] == (2, 50.0, 1.0)
+    assert len(got) == 5
