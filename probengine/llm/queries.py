@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, packing, pii, token_counts
+from probengine.llm import bpe, packing, pii, quality, token_counts
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def query(fn):
     return fn
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and the weakly supervised verdict of every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in counts],
+                         quality.base_failed().alias("base_failed"), "kept", F.round("posterior", 6).alias("posterior"))
+
+
+ORACLE_SQL["op3_quality"] = quality.oracle_sql()
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, counted and written out."""
