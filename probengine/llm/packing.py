@@ -23,57 +23,71 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
+import re
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from probengine.llm.common import Memo, prepare, texts
 from probengine.llm.segments import blank_words
 
+#: What the byte-level pre-tokenizer splits by (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TIERS = (2048, 1024, 512, 256, 128, 64)
 SCHEMA = ("doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, tier int, step_group bigint")
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """Character of each byte in a byte-level vocabulary: printable Latin-1
+    stands for itself, the other bytes are moved up behind 255 in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
+
+
 class Encoder:
-    """Ids as little-endian 32-bit bytes, equal to the tokenizer's own; its
-    segments are cached, and those a batch misses are encoded together."""
+    """Ids as little-endian 32-bit bytes, equal to those of the tokenizer
+    whose JSON is given. Its merges are those of falling rank, which is
+    checked, so that the faster rank encoder can do them; segments are cached."""
 
     def __init__(self, spec: str, limit: int = 1 << 19):
-        self.tokenizer = Tokenizer.from_str(spec)
-        pre = self.tokenizer.pre_tokenizer
-        if self.tokenizer.normalizer is not None or type(pre).__name__ != "ByteLevel" or pre.add_prefix_space:
-            raise ValueError("only plain byte-level tokenizers can be cut into segments")
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.blank: dict[str, bytes] = {}  # a blank and this word; bounded by limit and a batch's own words
-        self.limit = limit
-        self.head = Memo(lambda w: self._many([w])[0])
-
-    def _many(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [None if any(a in t for a in self.added) else blank_words(t) for t in batch]
-        words = set().union(*(c[1] for c in cut if c))
-        new = words - self.blank.keys()
-        if len(self.blank) + len(new) > self.limit:
-            self.blank.clear()
-            new = words
-        new = list(new)
-        self.blank.update(zip(new, self._many([" " + w for w in new]), strict=True))
-        get = self.blank.__getitem__
-        out = [self._many([t])[0] if c is None else b"".join([self.head[c[0]], *map(get, c[1])])
-               for t, c in zip(batch, cut, strict=True)]
-        for w in new:
-            if len(w) > 64:
-                del self.blank[w]
-        return out
+        rules = json.loads(spec)
+        pre, model = rules["pre_tokenizer"], rules["model"]
+        vocab, added = model["vocab"], rules["added_tokens"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        first = len(vocab) - len(pairs)
+        if (rules["normalizer"] is not None or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]
+                or any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "byte_fallback"))
+                or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+                or any(vocab[a + b] != first + i for i, (a, b) in enumerate(pairs))):
+            raise ValueError("only plain byte-level tokenizers with merges in the order of ids are known")
+        alphabet = _byte_alphabet()
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in vocab.items() if t not in {x["content"] for x in added}}
+        self.ranked = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")" if added else r"(?!)()")
+        self.blank = Memo(lambda w: self._ranked(" " + w), limit=limit)
+        self.head = Memo(self._ranked, limit=limit)
+
+    def _ranked(self, text: str) -> bytes:
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        head, words = blank_words(text)
+        return b"".join([self.head[head], *map(self.blank.__getitem__, words)])
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text; the added tokens in it are found first."""
+        if not any(t in text for t in self.added):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.at_added.split(text))
 
 
 class Packer:
@@ -173,9 +187,8 @@ def pack_batches(batches, encode, end: bytes, tiers, window_tokens: int, group_s
 
     fresh = 0
     for batch in batches:
-        ids_of = encode(texts(batch.column("text")))
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
-            ids += end
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+            ids = encode(text) + end
             held[counts["doc"]] = (doc_id, ids)
             sequences.extend(packer.add(counts["doc"], len(ids) // 4))
             counts["doc"] += 1
@@ -202,8 +215,6 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int,
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if digest not in _BUILT:
             _BUILT.clear()
             _BUILT[digest] = Encoder(shared.value)
