@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, packing, pii, quality, token_counts, topk
+from probengine.llm import bpe, minhash, packing, pii, quality, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_minhash"] = minhash.ORACLE_SQL
+
+
 @query
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every fiftieth vector."""
