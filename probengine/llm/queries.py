@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, minhash, packing, pii, quality, token_counts, topk
+from probengine.llm import bpe, minhash, ngram_lm, packing, pii, quality, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return ngram_lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the rank file, and the bytes they decode to."""
