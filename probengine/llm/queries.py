@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, minhash, ngram_lm, packing, pii, quality, token_counts, topk
+from probengine.llm import bpe, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op3_quality"] = quality.oracle_sql()
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract(found, pages.learn_weights(found)).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, counted and written out."""
