@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
+from probengine.llm import bpe, chat, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,15 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+@query
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered, validated and serialised calls of all conversations."""
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op5_tool_calls"] = chat.ORACLE_SQL
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, counted and written out."""
