@@ -2,17 +2,46 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written and reread as the next stage's docs.
+All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probengine.llm import packing
+from probengine.llm import minhash, packing, pii, quality
 from probengine.llm.common import prepare, table, written
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the weakly supervised verdict keeps."""
+    prepare(spark)
+    judged = quality.judge(docs.select(F.struct("*").alias("row"), "text"), keep_text=False)
+    return judged.where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    prepare(spark)
+    return minhash.deduplicate(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their personal data masked and n_chars renewed."""
+    prepare(spark)
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed training sequences."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates),
+          ("personal_data", personal_data), ("packing", packed)]
 
 #: SQL cannot express the tokenizer of the last stage.
 ORACLE_SQL = None
