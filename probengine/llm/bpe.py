@@ -66,7 +66,9 @@ class LinearBpe:
             self.halves.append(self._last_merge(i))
         self.compatible = functools.lru_cache(1 << 20)(self._compatible)
         self.pieces = Memo(lambda m: array("i", self.encode_piece(m.encode())).tobytes())
-        self.blank = Memo(lambda w: self._packed(" " + w))
+        # whether the pattern leaves a blank and letters in one piece
+        letters = self.pattern.findall(" word") == [" word"]
+        self.blank = Memo(lambda w: self.pieces[" " + w] if letters and w.isalpha() else self._packed(" " + w))
         self.head = Memo(self._packed)
 
     def _prefix(self, token: bytes) -> int:
@@ -114,8 +116,13 @@ class LinearBpe:
         if whole is not None:
             return [whole]
         size, lengths, shorter, compatible = len(piece), self.lengths, self.shorter, self.compatible
+        latin = piece.decode("latin-1")
+        # if the leftmost longest matches happen to be compatible, they are the ids
+        greedy = [i for _, (i, _) in self.automaton.iter_long(latin)]
+        if all(map(compatible, greedy, greedy[1:])):
+            return greedy
         longest = [-1] * size
-        for end, (i, n) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (i, n) in self.automaton.iter(latin):
             longest[end + 1 - n] = i  # matches come by their end, so the longest is last
         dead: set[int] = set()
         out: list[int] = []

@@ -21,8 +21,9 @@ and a query block is one task's row; no pair of vectors is ever a row, only
 entries that reach a cutoff. Both passes read the blocks again and keep k
 entries a query, so memory is bounded by two blocks.
 
-Scores are integers, exact while k * the largest product sum is below 2**53,
-else computed with Python integers. Vectors that are null, empty or hold a
+Scores are integers, exact while no product sum can reach 2**53,
+else computed with Python integers; one that no long holds raises an error.
+Vectors that are null, empty or hold a
 null or non-finite component take no part; only vectors of one length are
 compared. Ties go to the smaller id; equal rows count once, and rows of one id
 are never candidates for each other. A query with fewer than k candidates gets
