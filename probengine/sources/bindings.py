@@ -104,18 +104,15 @@ def attempts_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
     )
 
 
-# Fixed lookup tables of the test binding (our own values).
-VENUES = [("AUTOMOBILE", 5280, 0), ("BUILDING", 0, 1), ("FURNITURE", 220, 0),
-          ("HOUSEHOLD", 600, 0)]
+# Lookup tables of the test binding, made up by simple rules.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
+VENUES = [(s, 111 * (i + 1), int(i == 1)) for i, s in enumerate(SEGMENTS)]
 VENUE_SURFACE = [("AUTOMOBILE", 1995, "turf"), ("BUILDING", 1996, "grass"),
                  ("FURNITURE", 1997, "grass"), ("HOUSEHOLD", 1998, "turf"),
                  ("MACHINERY", 1999, "grass"), ("AUTOMOBILE", 2000, "grass"),
                  ("BUILDING", 2001, "turf"), ("MACHINERY", 2001, "turf")]
-HISTORY = [("Customer#000000001", 500, 413), ("Customer#000000002", 184, 139),
-           ("Customer#000000003", 0, 0), ("Customer#000000010", 453, 367),
-           ("Customer#000000011", 155, 127), ("Customer#000000025", 40, 31),
-           ("Customer#000000100", 250, 205), ("Customer#000000101", 12, 9),
-           ("Customer#000000500", 300, 240), ("Customer#000001000", 77, 60)]
+# attempts and makes before the first season: multiples of 7 and of 5, one actor with none
+HISTORY = [(f"Customer#{k:09d}", 7 * i, 5 * i) for i, k in enumerate((3, 1, 2, 10, 11, 25, 100, 101, 500, 1000))]
 
 
 def venue_table(spark: SparkSession) -> LookupTable:
