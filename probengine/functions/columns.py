@@ -104,8 +104,9 @@ def decision(p: ColumnOrName, threshold: float = DECISION_THRESHOLD) -> Column:
     return (_c(p) >= F.lit(threshold)).cast("int")
 
 
-def hash_uniform(tag: str, key: ColumnOrName) -> Column:
-    """Portable uniform in [0, 1): first 32 bits of md5(tag|key) / 2^32.
+def hash_uniform(tag: str, key: ColumnOrName, bits: int = 32) -> Column:
+    """Portable uniform in [0, 1): first ``bits`` (a multiple of four) bits of
+    md5(tag|key) / 2^bits.
 
     DuckDB computes the same value with
     ``('0x' || substr(md5(tag || '|' || key), 1, 8))::BIGINT / 4294967296.0``.
@@ -113,7 +114,7 @@ def hash_uniform(tag: str, key: ColumnOrName) -> Column:
     columns of the test bindings: deterministic, so a recomputed partition
     after an executor loss yields identical rows."""
     h = F.md5(F.concat(F.lit(f"{tag}|"), _c(key).cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(h, 1, bits // 4), 16, 10).cast("bigint") / F.lit(float(1 << bits))
 
 
 def linspace_bin(x: ColumnOrName, n_bins: int, closed_last: bool) -> Column:

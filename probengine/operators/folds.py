@@ -7,6 +7,8 @@ DuckDB can reproduce them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,14 @@ def stratified_folds(df: DataFrame, key: str, y: str, n_folds: int = N_FOLDS,
     tagged = df.withColumns({"_h": h, "_bk": F.floor(h * F.lit(float(n_buckets))).cast("int")})
     counts = tagged.groupBy(y, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     w_prev = Window.partitionBy(y).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(y, "_bk", F.coalesce(F.sum("_c").over(w_prev), F.lit(0)).alias("_off"))
+    offsets = counts.select(F.col(y).alias("_y"), F.col("_bk").alias("_ob"),
+                            F.coalesce(F.sum("_c").over(w_prev), F.lit(0)).alias("_off"))
     w = Window.partitionBy(y, "_bk").orderBy("_h", key)
-    out_df = (tagged.withColumn("_rn", F.row_number().over(w) - 1)
-              .join(offsets, on=[y, "_bk"], how="inner")
+    numbered = tagged.withColumn("_rn", F.row_number().over(w) - 1)
+    # null-safe: rows without a label are a class of their own, no row is lost
+    out_df = (numbered.join(offsets, numbered[y].eqNullSafe(offsets["_y"]) & numbered["_bk"].eqNullSafe(offsets["_ob"]))
               .withColumn(out, ((F.col("_off") + F.col("_rn")) % n_folds).cast("int")))
-    return out_df.drop("_h", "_bk", "_rn", "_off")
+    return out_df.drop("_h", "_bk", "_rn", "_off", "_y", "_ob")
 
 
 def hash_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = SEED,
@@ -52,23 +56,29 @@ def hash_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = SEED
                                       * F.lit(float(n_folds))).cast("int"))
 
 
-def poisson_multiplicity(key: Column, replicate: Column, seed: int = SEED,
-                         max_k: int = 12, rate: float = 1.0) -> Column:
+def poisson_cdf(rate: float) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until a double holds no difference to 1
+    any more: no 52-bit uniform reaches further, so nothing is cut off."""
+    cdf, term = [math.exp(-rate)], math.exp(-rate)
+    while cdf[-1] < 1.0 - 2.0 ** -52:
+        term *= rate / len(cdf)
+        if cdf[-1] + term == cdf[-1]:
+            break
+        cdf.append(cdf[-1] + term)
+    return cdf
+
+
+def poisson_multiplicity(key: Column, replicate: Column, seed: int = SEED, rate: float = 1.0) -> Column:
     """V6 — bootstrap multiplicity of a row in one replicate, Poisson(1)
-    by inverse CDF of a portable uniform. Resampling n of n with replacement
+    by inverse CDF of a portable 52-bit uniform. Resampling n of n with replacement
     is Multinomial(n, 1/n) per row ~ Poisson(1): weights instead of copied
-    rows, so no row is duplicated and nothing shuffles."""
-    u = hash_uniform(f"boot{seed}", F.concat_ws("|", key.cast("string"), replicate.cast("string")))
-    import math
-    cdf, acc, term = [], 0.0, math.exp(-rate)
-    for k in range(max_k):
-        acc += term
-        cdf.append(acc)
-        term = term * rate / (k + 1)
+    rows, and nothing shuffles."""
+    u = hash_uniform(f"boot{seed}", F.concat_ws("|", key.cast("string"), replicate.cast("string")), bits=52)
+    cdf = poisson_cdf(rate)
     expr = F.when(u < F.lit(cdf[0]), F.lit(0))
-    for k in range(1, max_k):
-        expr = expr.when(u < F.lit(cdf[k]), F.lit(k))
-    return expr.otherwise(F.lit(max_k)).cast("int")
+    for k, c in enumerate(cdf[1:], 1):
+        expr = expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(cdf))).cast("int")
 
 
 def bootstrap_weights(df: DataFrame, key: str, n_replicates: int, seed: int = SEED,

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probengine.functions.columns import safe_ratio
+from probengine.session import materialise
 
 
 def career_to_date(df: DataFrame, actor: str, block: str, tiebreak: Sequence[str], y: str,
@@ -31,27 +32,29 @@ def career_to_date(df: DataFrame, actor: str, block: str, tiebreak: Sequence[str
                    out_rate: str = "career_fg_pct") -> DataFrame:
     """Attempts before this row (+ prior), W2: makes before this row
     (+ prior), W3: their zero-safe ratio. Order within an actor is
-    ``(block, *tiebreak)``; the tie-breakers make it deterministic."""
+    ``(block, *tiebreak)``; the tie-breakers make it deterministic. Every row
+    is kept: a NULL actor is an actor, a NULL block comes before all others."""
     prev = Window.unboundedPreceding
     w_in = Window.partitionBy(actor, block).orderBy(*tiebreak)
-    rows = df.withColumns({
+    # written once, as the block totals and the result both read it: the input
+    # is scanned once
+    rows = materialise(df.withColumns({
         "_in_n": F.row_number().over(w_in) - 1,
         "_in_y": F.coalesce(F.sum(y).over(w_in.rowsBetween(prev, -1)), F.lit(0)),
-    })
-    # block totals from the same (actor, block)-partitioned rows: the shuffle
-    # below the window is reused, so the input is scanned once
-    blocks = (rows.groupBy(actor, block)
+    }))
+    blocks = (rows.groupBy(F.col(actor).alias("_actor"), F.col(block).alias("_block"))
               .agg(F.count(F.lit(1)).alias("_bn"), F.sum(y).alias("_by")))
-    w_blk = Window.partitionBy(actor).orderBy(block).rowsBetween(prev, -1)
+    w_blk = Window.partitionBy("_actor").orderBy("_block").rowsBetween(prev, -1)
     blocks = blocks.select(
-        actor, block,
+        "_actor", "_block",
         F.coalesce(F.sum("_bn").over(w_blk), F.lit(0)).alias("_off_n"),
         F.coalesce(F.sum("_by").over(w_blk), F.lit(0)).alias("_off_y"))
-    out = rows.join(blocks, on=[actor, block], how="inner")
+    # null-safe: rows without an actor or a date are one block of their own
+    out = rows.join(blocks, rows[actor].eqNullSafe(blocks["_actor"]) & rows[block].eqNullSafe(blocks["_block"]))
     pa = F.col(prior_attempts) if prior_attempts else F.lit(0)
     pm = F.col(prior_makes) if prior_makes else F.lit(0)
     att = (F.col("_off_n") + F.col("_in_n")).cast("double") + pa
     mk = (F.col("_off_y") + F.col("_in_y")).cast("double") + pm
     out = out.withColumns({out_attempts: att, out_makes: mk})
     out = out.withColumn(out_rate, safe_ratio(out_makes, out_attempts))
-    return out.drop("_in_n", "_in_y", "_off_n", "_off_y")
+    return out.drop("_in_n", "_in_y", "_off_n", "_off_y", "_actor", "_block")

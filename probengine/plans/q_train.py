@@ -124,19 +124,14 @@ def f4_scale(spark, sf):
 
 
 # -- V6: bootstrap multiplicities (Poisson(1) by portable uniform) ------------
-def _poisson_case_sql(u: str, max_k: int = 12) -> str:
-    import math
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(max_k):
-        acc += term
-        cdf.append(acc)
-        term = term / (k + 1)
+def _poisson_case_sql(u: str) -> str:
+    cdf = FO.poisson_cdf(1.0)
     whens = " ".join(f"WHEN {u} < {D(repr(c))} THEN {k}" for k, c in enumerate(cdf))
-    return f"CAST(CASE {whens} ELSE {max_k} END AS INTEGER)"
+    return f"CAST(CASE {whens} ELSE {len(cdf)} END AS INTEGER)"
 
 
 _U_BOOT = ("(CAST(('0x' || substr(md5('boot42|' || CAST(attempt_id AS VARCHAR) || '|' || "
-           "CAST(replicate AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))")
+           "CAST(replicate AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))")
 
 
 @register("v6_bootstrap_multiplicities", f"""{_SPLIT},

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,9 @@ def get_spark(app: str = "probengine", cpus: str | int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) do we create
-    one, under the system temp folder."""
+    ``spark.checkpoint.dir``. Only under a local master (tests) do we create
+    one where it is unset, under the system temp folder; a cluster must name
+    one."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
@@ -48,12 +50,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="probengine-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, reread.
+
+    For a table that several branches read: it is computed once, a lost
+    executor rereads it, and unlike a row checkpoint it keeps column pruning
+    and filter pushdown (and partition pruning on ``partition_by``)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
 ROWS_PER_PARTITION = 1_000_000
 MIN_ROWS_PER_TASK = 5_000
 
