@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probengine.functions.columns import DECISION_THRESHOLD, linspace_bin
-from probengine.functions.curves import auc_ap
+from probengine.functions.curves import auc_ap_of, score_points
 
 # Fixed values that must equal the reference's for equal results.
 ECE_BINS = 10                              # ECE@10 on numpy.linspace(0, 1, 11), bins [lo, hi)
@@ -65,39 +65,37 @@ def ece(df: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
          / F.sum("n")).alias("ece10"))
 
 
-def metrics(df: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
-            digits: int = 9) -> DataFrame:
+def metrics(df: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """The all-in-one record per group — Brier, AUC, PR-AUC of misses,
     ECE@10 and the confusion counts at 0.5.
 
-    Two aggregations over the rows (Brier, confusion and ECE bins in one; the
-    score curve in the other); the per-group results are tiny and joined on
-    ``by``. Callers that reuse an expensive input cut its lineage first
-    (``session.cut_lineage``) so the two passes do not recompute it."""
+    One pass over the rows makes the distinct scores with their label counts
+    (``score_points``, written); every figure is a sum over these."""
     by = list(by)
     if not by:
-        return metrics(df.withColumn("_g", F.lit(0)), p, y, ["_g"], digits).drop("_g")
-    hat = F.col(p) >= F.lit(DECISION_THRESHOLD)
-    pos = F.col(y) == 1
+        return metrics(df.withColumn("_g", F.lit(0)), p, y, ["_g"]).drop("_g")
+    points = score_points(df, p, y, by)
+    hat = F.col("s") >= F.lit(DECISION_THRESHOLD)
 
-    def cnt(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    def cnt(c, n):
+        return F.sum(F.when(c, F.col(n)).otherwise(0)).cast("long")
 
-    # one pass for Brier, confusion and the ECE bins: aggregate per (group, bin),
-    # then roll the (at most 11 per group) bin rows up to the group
-    bins = (df.select(*by, p, y, linspace_bin(p, ECE_BINS, closed_last=False).alias("_bin"))
+    labelled = F.col("n_pos") + F.col("n_neg")
+    bins = (points.withColumn("_bin", linspace_bin("s", ECE_BINS, closed_last=False))
             .groupBy(*by, "_bin").agg(
-                F.count(F.lit(1)).alias("_n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_se"),
-                F.avg(p).alias("_mp"), F.avg(F.col(y).cast("double")).alias("_my"),
-                cnt(~hat & ~pos).alias("tn"), cnt(hat & ~pos).alias("fp"),
-                cnt(~hat & pos).alias("fn"), cnt(hat & pos).alias("tp")))
+                F.sum("n").alias("_n"), F.sum(labelled).alias("_l"),
+                F.sum(F.col("n_pos") * F.pow(F.col("s") - 1, 2) + F.col("n_neg") * F.pow(F.col("s"), 2)).alias("_se"),
+                (F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("_mp"),
+                F.try_divide(F.sum("n_pos").cast("double"), F.sum(labelled)).alias("_my"),
+                cnt(~hat, "n_neg").alias("tn"), cnt(hat, "n_neg").alias("fp"),
+                cnt(~hat, "n_pos").alias("fn"), cnt(hat, "n_pos").alias("tp")))
     base = bins.groupBy(*by).agg(
-        F.sum("_n").alias("n"), (F.sum("_se") / F.sum("_n")).alias("brier"),
+        F.sum("_n").alias("n"), F.try_divide(F.sum("_se"), F.sum("_l")).alias("brier"),
         F.sum("tn").alias("tn"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
         F.sum("tp").alias("tp"),
         (F.sum(F.when(F.col("_bin").isNotNull(), F.col("_n") * F.abs(F.col("_mp") - F.col("_my")))
                .otherwise(F.lit(0.0))) / F.sum("_n")).alias("ece10"))
-    ranks = auc_ap(df, p, y, by, digits)
+    ranks = auc_ap_of(points, by)
     return base.join(ranks, by, "left").select(*by, "n", "brier", "tn", "fp", "fn", "tp", "auc",
                                                "pr_miss", "ece10")
 

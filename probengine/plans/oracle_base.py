@@ -158,7 +158,7 @@ def linspace_bin_sql(x: str, n_bins: int, closed_last: bool) -> str:
     return f"(CASE WHEN {x} >= {D(0.0)} AND {x} < {D(1.0)} THEN CAST({b} AS INTEGER) END)"
 
 
-def metrics_sql(src: str, p: str, y: str, by: str, digits: int = 9) -> str:
+def metrics_sql(src: str, p: str, y: str, by: str) -> str:
     """CTE body list computing the E6 record per ``by`` over ``src``;
     the final CTE is ``met``."""
     return f"""
@@ -171,8 +171,8 @@ m_base AS (
   FROM {src} GROUP BY {by}
 ),
 m_pts AS (
-  SELECT {by}, round({p}, {digits}) AS s, sum({y}) AS n_pos, sum(1 - {y}) AS n_neg
-  FROM {src} GROUP BY {by}, round({p}, {digits})
+  SELECT {by}, {p} AS s, sum({y}) AS n_pos, sum(1 - {y}) AS n_neg
+  FROM {src} GROUP BY {by}, {p}
 ),
 m_cur AS (
   SELECT *, coalesce(sum(n_pos) OVER w, 0) AS pos_below, coalesce(sum(n_neg) OVER w, 0) AS neg_below
