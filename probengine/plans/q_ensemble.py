@@ -18,6 +18,7 @@ from probengine.sources import bindings as B
 MODELS = B.MODELS
 _NM = len(MODELS)
 _TOTAL = int(round(1.0 / EN.GRID_STEP))
+_LISTED = ", ".join(f"'{m}'" for m in MODELS)
 _MET = ["brier", "auc", "pr_miss", "ece10"]
 
 
@@ -27,14 +28,46 @@ def _wide(spark, sf):
 
 # -- J4: alignment contract ---------------------------------------------------
 @register("j4_alignment_contract", f"""WITH {PREDS},
-per AS (SELECT attempt_id, count(DISTINCT model) AS n_models, min(y) <> max(y) AS mm FROM preds GROUP BY attempt_id)
+one AS (SELECT attempt_id, model, count(*) AS n, min(y) AS lo, max(y) AS hi FROM preds GROUP BY attempt_id, model),
+per AS (SELECT attempt_id, count(*) FILTER (model IN ({_LISTED})) AS n_listed, bool_or(n > 1 AND model IN ({_LISTED})) AS doubled,
+    bool_or(model NOT IN ({_LISTED})) AS unlisted,
+    min(lo) FILTER (model IN ({_LISTED})) <> max(hi) FILTER (model IN ({_LISTED})) AS mm FROM one GROUP BY attempt_id)
 SELECT count(*) AS n_attempts,
-  CAST(sum(CASE WHEN n_models < {_NM} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_model,
+  CAST(sum(CASE WHEN n_listed < {_NM} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_model,
+  CAST(sum(CASE WHEN doubled THEN 1 ELSE 0 END) AS BIGINT) AS n_duplicate_model,
+  CAST(sum(CASE WHEN unlisted THEN 1 ELSE 0 END) AS BIGINT) AS n_unlisted_model,
   CAST(sum(CASE WHEN mm THEN 1 ELSE 0 END) AS BIGINT) AS n_label_mismatch FROM per""")
 def j4_contract(spark, sf):
     return EN.align_contract(B.prediction_table(spark, sf), MODELS)
 
 
+# -- J4 on predictions with missing, doubled, unlisted and disagreeing rows ----
+_HOLES = """broken AS (
+  SELECT attempt_id, y, CASE WHEN attempt_id % 11 = 0 AND model = 'gam' THEN 'other' ELSE model END AS model, p_make FROM preds
+  WHERE NOT (attempt_id % 7 = 0 AND model = 'logreg')
+  UNION ALL SELECT attempt_id, 1 - y AS y, model, p_make FROM preds WHERE attempt_id % 5 = 0 AND model = 'gam')"""
+
+
+@register("j4_alignment_violations", f"""WITH {PREDS},
+{_HOLES},
+one AS (SELECT attempt_id, model, count(*) AS n, min(y) AS lo, max(y) AS hi FROM broken GROUP BY attempt_id, model),
+per AS (SELECT attempt_id, count(*) FILTER (model IN ({_LISTED})) AS n_listed, bool_or(n > 1 AND model IN ({_LISTED})) AS doubled,
+    bool_or(model NOT IN ({_LISTED})) AS unlisted,
+    min(lo) FILTER (model IN ({_LISTED})) <> max(hi) FILTER (model IN ({_LISTED})) AS mm FROM one GROUP BY attempt_id)
+SELECT count(*) AS n_attempts,
+  CAST(sum(CASE WHEN n_listed < {_NM} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_model,
+  CAST(sum(CASE WHEN doubled THEN 1 ELSE 0 END) AS BIGINT) AS n_duplicate_model,
+  CAST(sum(CASE WHEN unlisted THEN 1 ELSE 0 END) AS BIGINT) AS n_unlisted_model,
+  CAST(sum(CASE WHEN mm THEN 1 ELSE 0 END) AS BIGINT) AS n_label_mismatch FROM per""")
+def j4_violations(spark, sf):
+    pt = B.prediction_table(spark, sf).select("attempt_id", "y", "model", "p_make")
+    kept = pt.where(~((F.col("attempt_id") % 7 == 0) & (F.col("model") == "logreg")))
+    renamed = kept.withColumn("model", F.when((F.col("attempt_id") % 11 == 0) & (F.col("model") == "gam"), "other")
+                              .otherwise(F.col("model")))
+    again = pt.where((F.col("attempt_id") % 5 == 0) & (F.col("model") == "gam")).withColumn("y", 1 - F.col("y"))
+    return EN.align_contract(renamed.unionByName(again), MODELS)
+
+
 _CTX = ["kick_distance", "is_snow", "is_rain", "roof_binary", "buzzer_beater_binary", "career_fg_pct"]
 
 
