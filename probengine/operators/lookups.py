@@ -16,26 +16,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Lookup tables built from a literal mapping are broadcast only up to this
-# many rows; larger ones take the normal (AQE-planned) join.
-LITERAL_BROADCAST_MAX_ROWS = 100_000
-
 
 class LookupTable:
     """A dimension table plus what we know about its size."""
 
-    def __init__(self, df: DataFrame, bounded_rows: int | None = None):
+    def __init__(self, df: DataFrame, literal: bool = False):
         self.df = df
-        self.bounded_rows = bounded_rows
+        self.literal = literal      # its rows are written in the code
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: Sequence[tuple], schema: str):
-        return cls(literal_table(spark, rows, schema), bounded_rows=len(rows))
+        return cls(literal_table(spark, rows, schema), literal=True)
 
     def side(self) -> DataFrame:
-        if self.bounded_rows is not None and self.bounded_rows <= LITERAL_BROADCAST_MAX_ROWS:
-            return F.broadcast(self.df)
-        return self.df
+        return F.broadcast(self.df) if self.literal else self.df
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

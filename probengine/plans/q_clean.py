@@ -166,7 +166,7 @@ def p20_cast(spark, sf):
     part = B.table(spark, sf, "part")
     return round_doubles(part.select(
         "p_partkey", lenient_double("p_brand").alias("brand_raw"),
-        lenient_double(F.substring("p_brand", 7, 100)).alias("brand_no"),
+        lenient_double(F.expr("substring(p_brand, 7)")).alias("brand_no"),
         lenient_double("p_type").alias("type_num")))
 
 

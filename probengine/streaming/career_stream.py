@@ -50,9 +50,15 @@ def stream_attempts(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1
     """Raw attempts as a stream: ``orders`` files streamed, ``customer``
     joined as a static dimension (stream-static join)."""
     from probengine.sources import bindings as B
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    orders = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .option("pathGlobFilter", "orders*.parquet").parquet(sf_dir))
+    path = f"{sf_dir}/orders.parquet"
+    reader = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("maxFilesPerTrigger", files_per_trigger))
+    # a stream lists a folder: the table's own, or the one its only file is in
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        orders = reader.parquet(path)
+    else:
+        orders = reader.option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     return B.attempts_from(orders, B.table(spark, sf_dir, "customer"))
 
 
@@ -68,16 +74,12 @@ def career_stream(attempts: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
-    """Drive a streaming plan over everything available into a memory table
-    (checkpointed in the shared checkpoint folder) and return it as a batch
-    DataFrame."""
+    """Drive a streaming plan over everything available into a Parquet table
+    in the shared checkpoint folder and return it as a batch DataFrame."""
     spark = stream.sparkSession
-    name = name or f"stream_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{ensure_checkpoint_dir(spark)}/{name}"
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name)
+    name = name or f"stream-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows"))
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
