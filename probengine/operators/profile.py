@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from probengine.functions.curves import score_curve, score_points
 from probengine.functions.columns import linspace_bin
 from probengine.operators.lookups import literal_table
 
@@ -111,24 +112,57 @@ def grouped_rate(df: DataFrame, key: str, flag_col: str) -> DataFrame:
                                F.count(F.lit(1)).alias("count"))
 
 
-def class_profile(df: DataFrame, p: str, y: str, by: Sequence[str] = (),
-                  exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+def percentiles(points: DataFrame, by: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation percentiles per group, from ``score_points``
+    made with a constant label: the running counts tell which value stands at
+    rank floor((n - 1) q) and at the next one, so no group's values ever meet
+    in one task. Columns ``*by, q0, q1, ...``."""
+    cur = score_curve(points, by)
+    totals = points.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("n_pos").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & cur[c].eqNullSafe(totals[f"_t_{c}"])
+    first, last = F.col("pos_below"), F.col("pos_below") + F.col("n_pos") - 1
+    picks = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        picks += [F.max(F.when((first <= F.floor(h)) & (F.floor(h) <= last), F.col("s"))).alias(f"_lo{i}"),
+                  F.max(F.when((first <= F.ceil(h)) & (F.ceil(h) <= last), F.col("s"))).alias(f"_hi{i}"),
+                  F.max(h - F.floor(h)).alias(f"_f{i}")]
+    found = cur.join(totals, same).groupBy(*by).agg(*picks)
+    return found.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}")
+                               for i in range(len(qs))])
+
+
+def class_profile(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """E8 (A10, A11): per group and true class: count, mean, population std,
-    min, p10/25/50/75/90, max.
-
-    ``exact`` gives numpy's linear interpolation (``percentile``), which keeps
-    the distinct values of a group in one task's memory; for groups too large
-    for that, ``exact=False`` uses ``percentile_approx`` (bounded sketch,
-    rank error about 1/accuracy)."""
-    qs = F.array(*[F.lit(x) for x in PERCENTILES])
-    q = F.percentile(F.col(p), qs) if exact else F.percentile_approx(F.col(p), qs, accuracy)
-    agg = df.groupBy(*by, y).agg(
-        F.count(F.lit(1)).alias("count"), F.avg(p).alias("mean"),
-        F.stddev_pop(p).alias("std"), F.min(p).alias("min"), q.alias("_q"),
-        F.max(p).alias("max"))
-    return agg.select(*by, y, "count", "mean", "std", "min",
-                      *[F.col("_q")[i].alias(f"p{int(round(x * 100))}") for i, x in enumerate(PERCENTILES)],
-                      "max")
+    min, p10/25/50/75/90 (numpy's linear interpolation), max. One pass over
+    the rows makes the distinct values; rows without a value count only."""
+    keys = [*by, y]
+    points = score_points(df.select(*keys, p), F.col(p), F.when(F.col(p).isNotNull(), F.lit(1)), keys)
+    known = points.where("s IS NOT NULL")
+    # moments around the group's own mean; the two small tables have a row per group and class
+    means = points.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.sum("n_pos").alias("_n"), F.try_divide(F.sum(F.col("n_pos") * F.col("s")), F.sum("n_pos")).alias("mean"),
+        F.min("s").alias("min"), F.max("s").alias("max"))
+    named = means.select(*[F.col(c).alias(f"_m_{c}") for c in keys], "mean")
+    same = F.lit(True)
+    for c in keys:
+        same = same & known[c].eqNullSafe(named[f"_m_{c}"])
+    spread = (known.join(named, same).groupBy(*keys)
+              .agg(F.sqrt(F.sum(F.col("n_pos") * F.pow(F.col("s") - F.col("mean"), 2)) / F.sum("n_pos")).alias("std")))
+    ranks = percentiles(known, keys, PERCENTILES)
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+        on = F.lit(True)
+        for c in keys:
+            on = on & left[c].eqNullSafe(right[f"_r_{c}"])
+        return left.join(right, on, "left").drop(*[f"_r_{c}" for c in keys])
+
+    out = beside(beside(means, spread), ranks)
+    return out.select(*keys, "count", "mean", "std", "min",
+                      *[F.col(f"q{i}").alias(f"p{int(round(x * 100))}") for i, x in enumerate(PERCENTILES)], "max")
 
 
 def probability_histogram(df: DataFrame, p: str, y: str, by: Sequence[str] = (),

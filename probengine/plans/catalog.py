@@ -48,6 +48,7 @@ def _load() -> None:
         q_ensemble,
         q_models,
         q_profile,
+        q_sources,
         q_train,
     )
 

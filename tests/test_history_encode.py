@@ -1,3 +1,4 @@
+import pytest
 """History window, encodings and folds (FIXTURES career, encode, holdout)."""
 
 import datetime as dt
@@ -107,3 +108,30 @@ def test_balanced_weights(spark):
     got = sorted({(r.y, r.w_balanced) for r in FO.balanced_weights(df, "y").collect()})
     assert got == [(0, 4 / 2), (1, 4 / 6)]
     assert FO.positive_class_weight(df, "y").first().pos_weight == 1.0
+
+
+def test_null_keys_keep_their_rows(spark):
+    import datetime as dt
+
+    from probengine.operators.folds import poisson_cdf, stratified_folds
+    from probengine.operators.history import career_to_date
+    day = dt.date(2020, 1, 1)
+    rows = [(1, "a", day, 1), (2, "a", None, 0), (3, None, day, 1), (4, None, day, 1), (5, None, None, 1)]
+    df = spark.createDataFrame(rows, "id int, who string, day date, y int")
+    got = {r.id: (r.career_attempts, r.career_makes) for r in career_to_date(df, "who", "day", ["id"], "y").collect()}
+    assert got == {1: (1.0, 0.0), 2: (0.0, 0.0), 3: (1.0, 1.0), 4: (2.0, 2.0), 5: (0.0, 0.0)}
+    labels = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "id int, y int")
+    folds = stratified_folds(labels, "id", "y", 5)
+    assert folds.count() == 30
+    assert all(r["count"] == 2 for r in folds.where("y IS NULL").groupBy("fold").count().collect())
+    assert len(poisson_cdf(1.0)) > 15 and poisson_cdf(1.0)[-1] >= 1 - 2 ** -51
+
+
+def test_a_cluster_must_name_the_shared_folder(monkeypatch):
+    import types
+
+    from probengine import session
+    context = types.SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(fake)

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,12 +76,27 @@ def test_auc_symmetry_and_block_boundaries(spark):
     a = auc_ap(_df(spark, rows), "p", "y").first().auc
     b = auc_ap(_df(spark, [(1 - p, y) for p, y in rows]), "p", "y").first().auc
     assert abs(a + b - 1.0) < 1e-9
-    # a small block scale forces many blocks: offsets must give the same answer
-    from probengine.functions.curves import score_curve
-    cur = score_curve(_df(spark, rows), "p", "y", block_scale=7).collect()
-    tot_neg = sum(1 for _, y in rows if y == 0)
-    assert max(r.neg_below + r.n_neg for r in cur) == tot_neg
-    assert abs(a - _brute_auc(rows)) < 1e-9
+    # many small blocks: offsets must give the same answer
+    from probengine.functions.curves import score_curve, score_points
+    points = score_points(_df(spark, rows), "p", "y").withColumn("_blk", F.floor(F.col("s") * 7).cast("int"))
+    below = {r.s: (r.pos_below, r.neg_below) for r in score_curve(points).collect()}
+    for s in list(below)[::17]:
+        assert below[s] == (sum(y for p, y in rows if p < s), sum(1 - y for p, y in rows if p < s))
+
+
+def test_scores_that_differ_in_the_tenth_digit_do_not_tie(spark):
+    rows = [(1e-10, 0), (2e-10, 1), (3e-10, 0), (4e-10, 1)]
+    r = auc_ap(_df(spark, rows), "p", "y").first()
+    assert r.auc == 0.75 and abs(r.pr_miss - 5 / 6) < 1e-12
+
+
+def test_class_profile_of_null_groups_and_values(spark):
+    rows = [(0.1, 1, None), (0.5, 1, None), (None, 1, None), (0.2, 0, "a")]
+    df = spark.createDataFrame(rows, "p double, y int, g string")
+    got = {(r.g, r.y): (r["count"], r["mean"], r["std"], r.p50, r.p90) for r in PR.class_profile(df, "p", "y", ["g"]).collect()}
+    n, mean, std, p50, p90 = got[None, 1]
+    assert (n, mean, p50) == (3, 0.3, 0.3) and abs(std - 0.2) < 1e-12 and abs(p90 - 0.46) < 1e-12
+    assert got["a", 0] == (1, 0.2, 0.0, 0.2, 0.2)
 
 
 def test_class_profile_percentiles_linear(spark):
