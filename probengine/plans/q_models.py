@@ -23,7 +23,7 @@ from probengine.operators import metrics as M
 from probengine.operators import score as SC
 from probengine.operators import stack as ST
 from probengine.operators.clean import FEATURES, TARGET
-from probengine.operators.folds import stratified_folds
+from probengine.operators.folds import balanced_weights, stratified_folds
 from probengine.operators.models import gam as G
 from probengine.operators.models import linear as L
 from probengine.operators.models import search as S
@@ -58,7 +58,8 @@ def _out(df):
 @register("m1_logreg_holdout")
 def m1(spark, sf):
     train, test = _split(spark, sf)
-    m = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, category=_CAT)
+    # the balanced class weight and the balanced sample weight multiply
+    m = L.fit_logistic(balanced_weights(train, TARGET), FEATURES, TARGET, L.TUNED_C, category=_CAT, sample_weight="w_balanced")
     return _out(m.transform(test))
 
 
@@ -74,8 +75,8 @@ def m2(spark, sf):
 @register("m3_bootstrap_logreg_holdout")
 def m3(spark, sf):
     train, test = _split(spark, sf)
-    ms = L.fit_bootstrap_logistic(train, FEATURES, TARGET, "attempt_id", category=_CAT)
-    return _out(L.predict_average(ms, test, "attempt_id"))
+    ms = L.fit_bootstrap_logistic(balanced_weights(train, TARGET), FEATURES, TARGET, "attempt_id", category=_CAT, sample_weight="w_balanced")
+    return _out(L.predict_average(ms, test))
 
 
 # -- M4: bagged trees with kicker ordinal + target encoding (F3) --------------
@@ -94,7 +95,7 @@ def _tree_frames(train, test):
 def m4(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_bagging(tr, feats, TARGET, n_trees=CHECK_TREES)
+    m = T.fit_bagging(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced", n_trees=CHECK_TREES)
     return _out(m.transform(te))
 
 
@@ -103,7 +104,7 @@ def m4(spark, sf):
 def m5(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_boosting(tr, feats, TARGET, rounds=CHECK_ROUNDS)
+    m = T.fit_boosting(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced", rounds=CHECK_ROUNDS)
     return _out(m.transform(te))
 
 
@@ -111,7 +112,7 @@ def m5(spark, sf):
 @register("m6_monotone_distance_audit")
 def m6(spark, sf):
     train, test = _split(spark, sf)
-    m = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C)
+    m = T.fit_boosting(train, FEATURES, TARGET, rounds=CHECK_ROUNDS)   # a model that need not be monotone
     sw = T.sweep(test, "attempt_id", "kick_distance", 18.0, 67.0)
     scored = m.transform(sw)
     audit = T.monotone_audit(scored, "attempt_id")
@@ -124,8 +125,10 @@ def m6(spark, sf):
 @register("m7_gam_holdout")
 def m7(spark, sf):
     train, test = _split(spark, sf)
-    m = G.fit_gam(train, FEATURES, TARGET)
-    return _out(m.transform(test))
+    tr, te, feats = _tree_frames(train, test)
+    feats = [c for c in feats if c != "kicker_id"]
+    m = G.fit_gam(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced")
+    return _out(m.transform(te))
 
 
 # -- V1-V5, V7, C6: entry point B for logistic regression ---------------------
