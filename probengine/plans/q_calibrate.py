@@ -27,14 +27,14 @@ def _cal_input(spark, sf):
         F.col("kick_distance").alias("dist"),
         (F.col("kick_distance") + F.when(F.col("vegas_wp_effective") > 0.9, F.lit(0.5))
          .otherwise(F.lit(0.0))).alias("dist_c3"),
-        F.round(B.synthetic_p("logreg", F.col("attempt_id"), y), 1).alias("x"),
+        B.synthetic_p("logreg", F.col("attempt_id"), y).alias("x"),
         y.alias("y")))
 
 
 _INPUT = f"""WITH {model_ready_ctes(True)},
 ci AS (SELECT attempt_id, kick_distance AS dist,
          kick_distance + CASE WHEN vegas_wp_effective > {D(0.9)} THEN {D(0.5)} ELSE {D(0)} END AS dist_c3,
-         round({synthetic_p_sql("'logreg'", 'attempt_id', 'field_goal_result_binary')}, 1) AS x,
+         {synthetic_p_sql("'logreg'", 'attempt_id', 'field_goal_result_binary')} AS x,
          field_goal_result_binary AS y FROM mr)"""
 
 
@@ -50,10 +50,9 @@ def isotonic_fit_sql(pre: str, src: str) -> str:
 {pre}_pairs AS (SELECT a.key, a.i AS ai, b.i AS bi,
     CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cc - a.cc + a.c AS DOUBLE) AS m
   FROM {pre}_ord a JOIN {pre}_ord b ON a.key = b.key AND a.i <= b.i),
-{pre}_mins AS (SELECT p.key, o.i, p.ai, min(p.m) AS mn FROM {pre}_pairs p
-  JOIN {pre}_ord o ON p.key = o.key AND p.ai <= o.i AND p.bi >= o.i GROUP BY p.key, o.i, p.ai),
+{pre}_mins AS (SELECT key, ai, bi, min(m) OVER (PARTITION BY key, ai ORDER BY bi DESC ROWS UNBOUNDED PRECEDING) AS mn FROM {pre}_pairs),
 {pre}_fit AS (SELECT o.key, o.x, max(m.mn) AS fitted FROM {pre}_mins m
-  JOIN {pre}_ord o ON m.key = o.key AND m.i = o.i GROUP BY o.key, o.x)"""
+  JOIN {pre}_ord o ON m.key = o.key AND m.bi = o.i GROUP BY o.key, o.x)"""
 
 
 _HALF_OPEN_KEY = " ".join(f"WHEN dist >= {lo} AND dist < {hi} THEN '[{lo},{hi})'"
@@ -84,8 +83,11 @@ fk AS (SELECT fit_key AS key FROM k WHERE fit_key IS NOT NULL GROUP BY fit_key H
 src AS (SELECT k.fit_key AS key, k.x, k.y FROM k JOIN fk ON k.fit_key = fk.key
         UNION ALL SELECT 'global' AS key, x, y FROM k),{isotonic_fit_sql('b', 'src')},
 ak AS (SELECT k.attempt_id, k.x, CASE WHEN fk.key IS NOT NULL THEN k.apply_key ELSE 'global' END AS key
-       FROM k LEFT JOIN fk ON k.apply_key = fk.key)
-SELECT ak.attempt_id, b_fit.fitted AS p_cal FROM ak LEFT JOIN b_fit ON ak.key = b_fit.key AND ak.x = b_fit.x""",
+       FROM k LEFT JOIN fk ON k.apply_key = fk.key),
+below AS (SELECT ak.*, f.x AS x0, f.fitted AS f0 FROM ak ASOF LEFT JOIN b_fit f ON ak.key = f.key AND ak.x >= f.x),
+near AS (SELECT b.*, f.x AS x1, f.fitted AS f1 FROM below b ASOF LEFT JOIN b_fit f ON b.key = f.key AND b.x <= f.x)
+SELECT attempt_id, CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL OR x0 = x1 THEN f0
+  ELSE f0 + (x - x0) * (f1 - f0) / (x1 - x0) END AS p_cal FROM near""",
                                                    ["p_cal"]))
 def c3_c4(spark, sf):
     df = _cal_input(spark, sf)
