@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probengine.session import materialise
 # Fixed values that must equal the reference's for equal results.
 SMOOTHING = 20.0   # smoothed target encoding strength
 UNSEEN_ORDINAL = -1
@@ -99,7 +100,8 @@ def fit_ordinal(train: DataFrame, key: str, n_ranges: int | None = None) -> Data
     spark = train.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = train.select(key).where(F.col(key).isNotNull()).distinct()
-    ranged = distinct.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id())
+    # written once: the counts and the numbers see the same ranges
+    ranged = materialise(distinct.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

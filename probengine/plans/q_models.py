@@ -135,7 +135,7 @@ def m7(spark, sf):
 @register("v2_v7_logreg_tune_calibrate_holdout")
 def v2_v7(spark, sf):
     train, test = _split(spark, sf)
-    test = test.cache()
+    test = cut_lineage(test)
     folded = stratified_folds(train, "attempt_id", TARGET)
     cands = S.log_uniform_candidates()          # all 40: fitted together, see cv_logit
     scored, best = S.tune_calibrate_predict(cut_lineage(folded), test, FEATURES, TARGET,
@@ -177,7 +177,7 @@ def b1(spark, sf):
     cur_train, cur = train, scen
     for name, m in models.items():
         # in-sample calibrators per inclusive distance bucket (the presentation flow)
-        raw = m.transform(cur_train.select(TARGET, *FEATURES), out="p_raw")
+        raw = cut_lineage(m.transform(cur_train.select(TARGET, *FEATURES), out="p_raw"))   # scored once
         cal = CAL.fit_inclusive(raw, "kick_distance", "p_raw", TARGET)
         cur = CAL.apply_inclusive(m.transform(cur, out="p_raw"), cal, "kick_distance", "p_raw",
                                   f"p_{name}").drop("p_raw")

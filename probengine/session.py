@@ -70,30 +70,11 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-ROWS_PER_PARTITION = 1_000_000
-MIN_ROWS_PER_TASK = 5_000
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder, then sized.
-
-    Used for a table that several jobs read (the cleaned table before split,
-    encodings and fits; the stacked predictions; inputs of iterative fits), so
-    a lost executor recomputes from the checkpoint, not from the whole plan.
-    Never a local checkpoint. The checkpointed table keeps the partitioning
-    of the plan that produced it (e.g. 200 shuffle partitions); the row
-    count of the checkpoint (cheap: file metadata and a scan of it) sets the
-    partition count instead — about one partition per million rows, never
-    fewer than the cluster's cores while there are enough rows — by a narrow
-    ``coalesce``. Iterative MLlib fits then run as many tasks as the data
-    warrants, at 100 TB and at 10k rows alike."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ck = df.checkpoint(eager=True)
-    n = ck.count()
-    cores = spark.sparkContext.defaultParallelism
-    target = max(-(-n // ROWS_PER_PARTITION), min(cores, -(-n // MIN_ROWS_PER_TASK)), 1)
-    return ck.coalesce(target) if ck.rdd.getNumPartitions() > target else ck
+    """For a table that several jobs read (the cleaned table before split,
+    encodings and fits; inputs of iterative fits): written once, without its
+    order or partition count depending on a count of its rows."""
+    return materialise(df)
 
 
 _SHIPPED: set[str] = set()
