@@ -14,11 +14,14 @@ local[8]; the code path is the same.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from probengine.operators import calibrate as CAL
 from probengine.operators import effects as FX
 from probengine.operators import encode as EN
+from probengine.operators import ensemble as ENS
 from probengine.operators import metrics as M
 from probengine.operators import score as SC
 from probengine.operators import stack as ST
@@ -31,8 +34,9 @@ from probengine.operators.models import trees as T
 from probengine.operators.split import train_test
 from probengine.plans.catalog import register, round_doubles, rsql
 from probengine.plans.oracle_base import D, model_ready_ctes
-from probengine.session import cut_lineage
+from probengine.session import cut_lineage, ensure_checkpoint_dir
 from probengine.sources import bindings as B
+from probengine.sources.sinks import write_predictions
 
 CHECK_TREES = 40
 CHECK_ROUNDS = 40
@@ -157,6 +161,44 @@ def n7(spark, sf):
     return round_doubles(ST.meta_search(train, test, probs, "y"))
 
 
+# -- N8: base models -> calibration -> prediction table -> ensembles ---------
+@register("n8_base_models_to_ensembles")
+def n8(spark, sf):
+    """M1, M3, M4, M5 and M7 fitted on the earlier seasons, calibrated in
+    sample by distance bucket, written as the long prediction table, aligned
+    by attempt, and searched by weights (N3) and by stacking (N7)."""
+    train, test = _split(spark, sf)
+    both = cut_lineage(train.withColumn("_part", F.lit("train")).unionByName(test.withColumn("_part", F.lit("test"))))
+    tr, rows, feats = _tree_frames(balanced_weights(train, TARGET), both)
+    tr, rows = cut_lineage(tr), cut_lineage(rows)
+    smooth = [c for c in feats if c != "kicker_id"]
+    boot = L.fit_bootstrap_logistic(tr, smooth, TARGET, "attempt_id", sample_weight="w_balanced")
+    scored = {
+        "logreg": L.fit_logistic(tr, smooth, TARGET, L.TUNED_C, sample_weight="w_balanced").transform(rows),
+        "bootstrap": L.predict_average(boot, rows),
+        "bagging": T.fit_bagging(tr, feats, TARGET, weight="w_balanced", n_trees=CHECK_TREES).transform(rows),
+        "boosting": T.fit_boosting(tr, feats, TARGET, weight="w_balanced", rounds=CHECK_ROUNDS).transform(rows),
+        "gam": G.fit_gam(tr, smooth, TARGET, weight="w_balanced").transform(rows),
+    }
+    long = None
+    for name, df in scored.items():
+        raw = cut_lineage(df.select("attempt_id", "_part", "kick_distance", F.col(TARGET).alias("y"), F.col("p_make").alias("p_raw")))
+        cal = CAL.fit_inclusive(raw.where("_part = 'train'"), "kick_distance", "p_raw", "y")
+        one = CAL.apply_inclusive(raw, cal, "kick_distance", "p_raw", "p_make").withColumn("model", F.lit(name))
+        long = one if long is None else long.unionByName(one)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    write_predictions(long, path)
+    wide = ENS.align(spark.read.parquet(path), list(scored))
+    stacked = cut_lineage(wide.join(both.select("attempt_id", "_part", *ST.CONTEXT_FEATURES), "attempt_id"))
+    holdout = stacked.where("_part = 'test'")
+    probs = [f"p_{m}" for m in scored]
+    weighted = ENS.weighted_search(holdout, list(scored)).select(
+        F.lit("weighted").alias("search"), "name", "brier", "auc", "pr_miss", "ece10", "tn", "fp", "fn", "tp")
+    meta = ST.meta_search(stacked.where("_part = 'train'"), holdout, probs, "y").select(
+        F.lit("stacked").alias("search"), F.col("ensemble_name").alias("name"), "brier", "auc", "pr_miss", "ece10", "tn", "fp", "fn", "tp")
+    return round_doubles(weighted.unionByName(meta))
+
+
 # -- X1-X5: treatment effects by cross-fitted DML -----------------------------
 @register("x2_x5_effect_summary")
 def x5(spark, sf):
@@ -210,9 +252,6 @@ def b4(spark, sf):
 # -- F5 + F6 + M1 + S8 + B1: persisted one-hot pipeline, reloaded to score ----
 @register("f5_f6_s8_onehot_pipeline_scoring")
 def f5_s8(spark, sf):
-    import uuid
-
-    from probengine.session import ensure_checkpoint_dir
     from probengine.sources.sinks import load_model, save_model
     train, test = _split(spark, sf)
     model = L.fit_scoring_pipeline(train, [_CAT], FEATURES, TARGET, L.TUNED_C)
