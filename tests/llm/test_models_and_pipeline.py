@@ -94,7 +94,7 @@ def brute_scores(texts, held):
                sum(math.log10((c2[a, x] + lm.MASS * base(x)) / (seen.get(a, 0) + lm.MASS)) for a, x in zip([start, *w], w)))
 
 
-@pytest.mark.parametrize("block", [40, 1 << 21])
+@pytest.mark.parametrize("block", [40, 1 << 20])
 def test_scores_equal_brute_force(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
     rng = random.Random(2)
