@@ -26,6 +26,7 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +206,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     @arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         tokens = vocabulary.codec().tokens
-        return pa.array([b"".join(map(tokens.__getitem__, x or ())) for x in column.to_pylist()], type=pa.binary())
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and not 0 <= flat.min() <= flat.max() < len(tokens):
+            raise ValueError("an id outside the vocabulary")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        return pa.array([b"".join(map(tokens.__getitem__, x.tolist())) for x in np.split(flat, ends)[:-1]], type=pa.binary())
 
     return df.withColumn(out, bytes_of(F.col(ids)))

@@ -71,6 +71,14 @@ def test_byte_bpe_query(spark, tmp_path, rank_encoder):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_decoding_null_and_foreign_ids(spark):
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.createDataFrame([(1, [39, 72]), (2, None), (3, []), (4, [0])], "k int, ids array<int>").coalesce(1)
+    assert {r.k: bytes(r.decoded) for r in bpe.decode(df, vocabulary).collect()} == {1: b"Hi", 2: b"", 3: b"", 4: b"!"}
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe.decode(spark.createDataFrame([([50256],)], "ids array<int>"), vocabulary).collect()
+
+
 def test_token_counts_equal_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = open(path, "rb").read()
