@@ -10,8 +10,9 @@ as menus and lists of links have many tags for few words.
 The weights come from labelled pages, those that mark their article: for each
 kind of token, the log of how much more often it occurs inside than outside.
 The counts are taken over all pages; only some seventy sums reach the driver.
-On a page that marks its article the label is known: tags inside it cost
-nothing and what is outside is not scanned over.
+Every page is scanned whole, whether it marks an article or not. A mark is one
+more kind of token: a tag inside one costs nothing, nor do the tags between two
+marks that have no word between them. Its end costs what its kind does.
 
 White space inside a block becomes one blank, blocks are joined by two line
 feeds, character references are decoded. A null or empty page, and one without
@@ -149,20 +150,29 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return {k: min(v, 0.0) for k, v in odds.items() if k != "word"} | {"word": word, "unseen": -word}
 
 
+def _in_marks(found: list[tuple[str, str, bool, bool]]) -> list[bool]:
+    """For each token whether it is inside a mark, or between two with no word
+    between them."""
+    out, last = [t[2] for t in found], -1
+    for i, (kind, text, inside, _) in enumerate(found):
+        if inside:
+            if last >= 0:
+                out[last + 1:i] = [True] * (i - last - 1)
+            last = i
+        elif kind == "word" and not text.isspace():
+            last = -1
+    return out
+
+
 def main_text(page: str, weight: dict[str, float]) -> str:
     """The blocks of the greatest-scoring contiguous region."""
     found = [t for t in tokens(page) if not t[3]]
-    marked = any(inside for _, _, inside, _ in found)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, inside, _) in enumerate(found):
+    for i, ((kind, text, _, _), marked) in enumerate(zip(found, _in_marks(found), strict=True)):
         if kind == "word":
-            score = weight["word"] * len(text.split())
-        else:
-            score = 0.0 if inside else weight.get(_kind(kind), weight["unseen"])
-        if marked and not inside:
-            total, start = 0.0, i + 1
-            continue
-        total += score
+            total += weight["word"] * len(text.split())
+        elif not marked:
+            total += weight.get(_kind(kind), weight["unseen"])
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -140,6 +140,26 @@ def test_region_of_unmarked_pages():
     assert pages.main_text("<p>some words</p>", pages.weights({})) == "some words"
 
 
+def learned():
+    counts = collections.Counter()
+    for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        counts.update(pages.count_kinds(h))
+    return pages.weights(counts)
+
+
+@pytest.mark.parametrize("weight", [pages.weights({}), learned()], ids=["none", "learned"])
+def test_every_page_is_scanned_whole(weight):
+    long = " ".join(f"word{i}" for i in range(60))
+    teaser = f"<article><h2>Teaser</h2><p>Read this too.</p></article><div><p>{long}</p><p>{long}</p></div>"
+    assert pages.main_text(PAGE % teaser, weight).endswith(f"{long}\n\n{long}")
+    # siblings, short or long, side by side or each in a part of its own
+    for first, second in (("one two", "three"), ("one", "two three"), (long, "end"), ("start", long)):
+        want = f"{first}\n\n{second}"
+        one, two = f"<article><p>{first}</p></article>", f"<article><p>{second}</p></article>"
+        assert pages.main_text(PAGE % (one + "\n" + two), weight) == want
+        assert pages.main_text(PAGE % f"<div>{one}</div>\n<div>{two}</div>", weight) == want
+
+
 def messages(spark, rows):
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
 
