@@ -5,11 +5,9 @@ Iterative fits have no SQL twin: these get the driver's rows-only check and
 pytest properties (planted coefficients, monotonicity, calibration) instead.
 B4 is a pure expression and is oracle-checked.
 
-Model sizes: the library defaults are the reference's (600 bagged trees,
-1,800 boosting rounds, 40 search candidates, 200 outcome-forest trees). The
-search runs all 40 candidates (batched Newton); the tree checks pass smaller
-sizes explicitly (``CHECK_*`` below) so a check finishes in about a minute on
-local[8]; the code path is the same.
+Model sizes are the library defaults, which are the reference's: 600 bagged
+trees and 200 outcome-forest trees of MLlib's greatest depth, 1,800 boosting
+rounds, 40 search candidates.
 """
 
 from __future__ import annotations
@@ -38,10 +36,6 @@ from probengine.session import cut_lineage, ensure_checkpoint_dir
 from probengine.sources import bindings as B
 from probengine.sources.sinks import write_predictions
 
-CHECK_TREES = 40
-CHECK_ROUNDS = 40
-CHECK_Y_TREES = 20
-
 # model features: the 15 presentation features (kicker enters via encodings)
 _CAT = "kicker_player_name"
 
@@ -99,7 +93,7 @@ def _tree_frames(train, test):
 def m4(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_bagging(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced", n_trees=CHECK_TREES)
+    m = T.fit_bagging(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced")
     return _out(m.transform(te))
 
 
@@ -108,7 +102,7 @@ def m4(spark, sf):
 def m5(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_boosting(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced", rounds=CHECK_ROUNDS)
+    m = T.fit_boosting(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced")
     return _out(m.transform(te))
 
 
@@ -116,7 +110,7 @@ def m5(spark, sf):
 @register("m6_monotone_distance_audit")
 def m6(spark, sf):
     train, test = _split(spark, sf)
-    m = T.fit_boosting(train, FEATURES, TARGET, rounds=CHECK_ROUNDS)   # a model that need not be monotone
+    m = T.fit_boosting(train, FEATURES, TARGET)   # a model that need not be monotone
     sw = T.sweep(test, "attempt_id", "kick_distance", 18.0, 67.0)
     scored = m.transform(sw)
     audit = T.monotone_audit(scored, "attempt_id")
@@ -176,8 +170,8 @@ def n8(spark, sf):
     scored = {
         "logreg": L.fit_logistic(tr, smooth, TARGET, L.TUNED_C, sample_weight="w_balanced").transform(rows),
         "bootstrap": L.predict_average(boot, rows),
-        "bagging": T.fit_bagging(tr, feats, TARGET, weight="w_balanced", n_trees=CHECK_TREES).transform(rows),
-        "boosting": T.fit_boosting(tr, feats, TARGET, weight="w_balanced", rounds=CHECK_ROUNDS).transform(rows),
+        "bagging": T.fit_bagging(tr, feats, TARGET, weight="w_balanced").transform(rows),
+        "boosting": T.fit_boosting(tr, feats, TARGET, weight="w_balanced").transform(rows),
         "gam": G.fit_gam(tr, smooth, TARGET, weight="w_balanced").transform(rows),
     }
     long = None
@@ -203,7 +197,7 @@ def n8(spark, sf):
 @register("x2_x5_effect_summary")
 def x5(spark, sf):
     mr = B.model_ready(spark, sf, with_history=True)
-    return round_doubles(FX.treatment_effects(mr, "attempt_id", y_trees=CHECK_Y_TREES, y_depth=8))
+    return round_doubles(FX.treatment_effects(mr, "attempt_id"))
 
 
 # -- B1-B3 (+ C3/C4, N4): batch scenario scoring ------------------------------
@@ -212,8 +206,8 @@ def b1(spark, sf):
     train, test = _split(spark, sf)
     lr = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, class_balanced=False, scale=False)
     gam = G.fit_gam(train, FEATURES, TARGET)
-    bag = T.fit_bagging(train, FEATURES, TARGET, n_trees=CHECK_TREES)
-    gbt = T.fit_boosting(train, FEATURES, TARGET, rounds=CHECK_ROUNDS)
+    bag = T.fit_bagging(train, FEATURES, TARGET)
+    gbt = T.fit_boosting(train, FEATURES, TARGET)
     models = {"bagging": bag, "boosting": gbt, "gam": gam, "logreg": lr}
     scen = SC.validate_scenarios(test.select("attempt_id", *FEATURES))
     cur_train, cur = train, scen
