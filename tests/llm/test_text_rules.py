@@ -102,6 +102,22 @@ def test_checksums_and_context():
     assert near > far > against
 
 
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "BE68539007547034", "AT611904300234573201", "AT61 1904 3002 3457 3201",
+                                  "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO9386011117947"])
+@pytest.mark.parametrize("behind", [" BIC GKCCBEBB", " EUR 500", " 2024", " BANK GIRO 12", " BE68 5390 0754 7034", ""])
+def test_ibans_end_before_the_words_behind(iban, behind):
+    text = f"to {iban}{behind}"
+    found = [text[s["start"]:s["end"]] for s in pii.find_spans(text) if s["kind"] == "iban"]
+    assert found == [iban] + [behind.strip()] * behind.startswith(" BE")
+    assert pii.masked(text, [s for s in pii.find_spans(text) if s["kind"] == "iban"]).startswith("to [IBAN]")
+
+
+def test_an_iban_behind_what_looks_like_one():
+    text = "ref AB12 CDEF 3456 BE68 5390 0754 7034 BIC"
+    assert [text[s["start"]:s["end"]] for s in pii.find_spans(text) if s["kind"] == "iban"] == ["BE68 5390 0754 7034"]
+    assert not [s for s in pii.find_spans("AT611904300234573202 EUR 500") if s["kind"] == "iban"]
+
+
 def test_masking(spark):
     df = documents(spark, ["to a@b.co or 4111111111111111!", None, "", "clean 12 text"])
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["to [EMAIL] or [CARD]!", None, "", "clean 12 text"]
