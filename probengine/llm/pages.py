@@ -50,11 +50,26 @@ RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title",
 ARTICLE = frozenset(("article", "main"))
 #: Elements that are no main text by their name.
 DROPPED = RAW | frozenset("head nav footer aside form button select menu dialog canvas object audio video fieldset".split())
-#: Words in class, id or role that say the same.
+#: Words in names of class, id or role that say the same.
 MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
                   "gdpr masthead menu nav navbar navigation newsletter notice notices alert pagination popup promo promoted related replies "
                   "respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget complementary contentinfo search".split())
 _COMMENTS = frozenset(("comment", "comments", "disqus", "respond"))
+#: Words that name such a part together with one of them, as in "ad-slot".
+_LAYOUT = frozenset("area bar block bottom box btn button buttons container form icons inner item items left link links list panel posts "
+                    "right section signup site slot thread top unit wrap wrapper".split())
+#: Elements whose id is made from their title.
+_TITLED = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def _named(value: str, marks: frozenset[str]) -> bool:
+    """Whether a whole name in ``value`` says so: all its words are known and
+    one is of ``marks``."""
+    for name in value.split():
+        words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+        if not marks.isdisjoint(words) and all(w in MARKS or w in _LAYOUT for w in words):
+            return True
+    return False
 
 
 def _dropped(name: str, attributes: str, in_article: bool) -> bool:
@@ -64,11 +79,12 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
         return False
     # the article itself may be called anything but reader comments
     marks = _COMMENTS if name in ARTICLE and not in_article else MARKS
+    titled = name in _TITLED or (in_article and name == "section")
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if key in ("class", "id", "role") and not marks.isdisjoint(_SPLIT.split(value)):
+        if (key in ("class", "role") or (key == "id" and not titled)) and _named(value, marks):
             return True
     return False
 

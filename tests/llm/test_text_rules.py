@@ -176,6 +176,16 @@ def test_every_page_is_scanned_whole(weight):
         assert pages.main_text(PAGE % f"<div>{one}</div>\n<div>{two}</div>", weight) == want
 
 
+def test_ids_made_from_titles_drop_nothing():
+    weight = learned()
+    for name in ("related-work", "search-algorithms", "social-history", "share", "comment", "menu", "alert", "notice", "banner", "navigation"):
+        kept = f'<h2 id="{name}">Title</h2><section id="{name}"><p>Its text.</p></section><p class="{name}-of-kings">End.</p>'
+        assert pages.main_text(PAGE % f"<article>{kept}</article>", weight) == "Title\n\nIts text.\n\nEnd."
+    for name in ("ad", "ad-slot", "ad_slot-2", "big share-buttons", "related-posts", "comments-area", "cookie-notice", "newsletter"):
+        left = f'<div class="{name}">No</div><section class="{name}">No</section><div id="{name}">No</div>'
+        assert pages.main_text(PAGE % f"<article><p>Text.</p>{left}<p>End.</p></article>", weight) == "Text.\n\nEnd."
+
+
 def messages(spark, rows):
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
 
