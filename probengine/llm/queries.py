@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import bpe, chat, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
+from probengine.llm import bpe, chat, manifest, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         (F.col("n_tokens") > 4096).alias("over_limit"),
     )
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; every third one's text
+    is tampered with and must fail if that changed it."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = {"text": F.when(chosen, manifest.lower_letters(F.col("text"))).otherwise(F.col("text"))}
+    built = manifest.build(table(spark, sf_dir, "documents"), "doc_id", "lang",
+                           ("doc_id", "source", "lang", "n_chars", "text"), tampered)
+    found = manifest.folded(F.col("claimed"), F.col("steps"))
+    return built.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("steps")), 256).alias("proof_sha256"),
+                        found.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE_SQL["op13_manifest"] = manifest.ORACLE_SQL
