@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probengine.llm import alignment, bpe, chat, manifest, minhash, ngram_lm, packing, pages, pii, quality, token_counts, topk
+from probengine.llm import alignment, bpe, chat, manifest, minhash, ngram_lm, packing, pages, pii, quality, secret_scan, token_counts, topk
 from probengine.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,20 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumn("groups_sha256", digest).drop("groups")
 
 
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, counted and written out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.detect(documents, secret_scan.learn(documents)).drop("text")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secret_scan.BASE), F.sha2(pii.written_spans(base), 256).alias("base_sha256"),
+                        pii.written_spans(F.col("spans")).alias("spans"))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document; every third one's text
