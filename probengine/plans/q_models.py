@@ -6,7 +6,7 @@ pytest properties (planted coefficients, monotonicity, calibration) instead.
 B4 is a pure expression and is oracle-checked.
 
 Model sizes are the library defaults, which are the reference's: 600 bagged
-trees and 200 outcome-forest trees of MLlib's greatest depth, 1,800 boosting
+trees and 200 outcome-forest trees of unlimited depth, 1,800 boosting
 rounds, 40 search candidates.
 """
 
@@ -38,6 +38,8 @@ from probengine.sources.sinks import write_predictions
 
 # model features: the 15 presentation features (kicker enters via encodings)
 _CAT = "kicker_player_name"
+#: P(make) falls with distance
+FALLS = {"kick_distance": -1}
 
 
 def _split(spark, sf):
@@ -93,7 +95,7 @@ def _tree_frames(train, test):
 def m4(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_bagging(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced")
+    m = T.fit_bagging(balanced_weights(tr, TARGET), feats, TARGET, "attempt_id", weight="w_balanced")
     return _out(m.transform(te))
 
 
@@ -102,7 +104,7 @@ def m4(spark, sf):
 def m5(spark, sf):
     train, test = _split(spark, sf)
     tr, te, feats = _tree_frames(train, test)
-    m = T.fit_boosting(balanced_weights(tr, TARGET), feats, TARGET, weight="w_balanced")
+    m = T.fit_boosting(balanced_weights(tr, TARGET), feats, TARGET, "attempt_id", weight="w_balanced", monotone=FALLS)
     return _out(m.transform(te))
 
 
@@ -110,13 +112,13 @@ def m5(spark, sf):
 @register("m6_monotone_distance_audit")
 def m6(spark, sf):
     train, test = _split(spark, sf)
-    m = T.fit_boosting(train, FEATURES, TARGET)   # a model that need not be monotone
-    sw = T.sweep(test, "attempt_id", "kick_distance", 18.0, 67.0)
-    scored = m.transform(sw)
-    audit = T.monotone_audit(scored, "attempt_id")
-    proj = T.monotone_projection(scored, "attempt_id")
-    fixed = proj.groupBy("attempt_id").agg(F.avg("p_make_mono").alias("mean_p_mono"))
-    return round_doubles(audit.join(fixed, "attempt_id"))
+    m = T.fit_boosting(train, FEATURES, TARGET, "attempt_id")   # a model that need not be monotone
+    swept = m.sweep(test, "kick_distance", [18.0 + i for i in range(50)])
+    miss = F.transform("sweep", lambda p: F.lit(1.0) - p)
+    mono = F.transform(T.pool_increasing(miss), lambda p: F.lit(1.0) - p)
+    mean = F.aggregate(mono, F.lit(0.0), lambda a, x: a + x) / F.size("sweep")
+    return round_doubles(swept.select("attempt_id", T.sweep_violations(miss).alias("violations"),
+                                      F.size("sweep").cast("long").alias("points"), mean.alias("mean_p_mono")))
 
 
 # -- M7: additive spline logistic model ---------------------------------------
@@ -170,8 +172,8 @@ def n8(spark, sf):
     scored = {
         "logreg": L.fit_logistic(tr, smooth, TARGET, L.TUNED_C, sample_weight="w_balanced").transform(rows),
         "bootstrap": L.predict_average(boot, rows),
-        "bagging": T.fit_bagging(tr, feats, TARGET, weight="w_balanced").transform(rows),
-        "boosting": T.fit_boosting(tr, feats, TARGET, weight="w_balanced").transform(rows),
+        "bagging": T.fit_bagging(tr, feats, TARGET, "attempt_id", weight="w_balanced").transform(rows),
+        "boosting": T.fit_boosting(tr, feats, TARGET, "attempt_id", weight="w_balanced", monotone=FALLS).transform(rows),
         "gam": G.fit_gam(tr, smooth, TARGET, weight="w_balanced").transform(rows),
     }
     long = None
@@ -206,8 +208,8 @@ def b1(spark, sf):
     train, test = _split(spark, sf)
     lr = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, class_balanced=False, scale=False)
     gam = G.fit_gam(train, FEATURES, TARGET)
-    bag = T.fit_bagging(train, FEATURES, TARGET)
-    gbt = T.fit_boosting(train, FEATURES, TARGET)
+    bag = T.fit_bagging(train, FEATURES, TARGET, "attempt_id")
+    gbt = T.fit_boosting(train, FEATURES, TARGET, "attempt_id")
     models = {"bagging": bag, "boosting": gbt, "gam": gam, "logreg": lr}
     scen = SC.validate_scenarios(test.select("attempt_id", *FEATURES))
     cur_train, cur = train, scen
