@@ -139,16 +139,43 @@ def p21_b4(spark, sf):
 
 # -- X1: covariates of every treatment ----------------------------------------
 _TREATMENTS = [*FX.BINARY_TREATMENTS, *FX.CONT_TREATMENTS]
-_RELATED = ", ".join(f"('{t}', '{c}')" for t, cs in FX.RELATED_DROPS.items() for c in cs)
+_PAIRS = [(t, c) for t in _TREATMENTS for c in MODEL_READY_COLUMNS[1:]
+          if c not in (t, FX.TARGET, *FX.ID_COLS, *FX.RELATED_DROPS.get(t, ()))]
+_MOMENTS = ", ".join(f"{{'treatment': '{t}', 'covariate': '{c}', 'n': count(CASE WHEN {t} IS NOT NULL AND {c} IS NOT NULL THEN 1 END), "
+                     f"'mean_covariate': avg(CASE WHEN {t} IS NOT NULL THEN {c}::DOUBLE END), 'mean_product': avg({t}::DOUBLE * {c}::DOUBLE)}}" for t, c in _PAIRS)
 
 
-@register("x1_covariates", f"""WITH c(covariate) AS (VALUES {", ".join(f"('{c}')" for c in MODEL_READY_COLUMNS[1:])}),
-t(treatment) AS (VALUES {", ".join(f"('{t}')" for t in _TREATMENTS)}), r(treatment, covariate) AS (VALUES {_RELATED})
-SELECT t.treatment, c.covariate, (SELECT count(*) FROM orders) AS n_orders FROM t, c
-WHERE t.treatment <> c.covariate AND c.covariate NOT IN ('{FX.TARGET}', {", ".join(f"'{c}'" for c in FX.ID_COLS)})
-  AND NOT EXISTS (SELECT 1 FROM r WHERE r.treatment = t.treatment AND r.covariate = c.covariate)""")
+@register("x1_covariates", rsql(f"""WITH {model_ready_ctes(True)}, x AS (SELECT unnest([{_MOMENTS}], recursive := true) FROM mr) SELECT * FROM x""",
+                                ["mean_covariate", "mean_product"]))
 def x1_covariates(spark, sf):
-    df = B.model_ready(spark, sf)
-    n = B.table(spark, sf, "orders").count()
-    pairs = FX.covariate_table(spark, [c for c in df.columns if c != "attempt_id"], _TREATMENTS)
-    return pairs.withColumn("n_orders", F.lit(n).cast("bigint"))
+    df = B.model_ready(spark, sf, with_history=True)
+    pairs = FX.covariate_table(spark, [c for c in df.columns if c != "attempt_id"], _TREATMENTS).collect()    # columns x treatments
+    return round_doubles(FX.covariate_moments(df, [(p["treatment"], p["covariate"]) for p in pairs]))
+
+
+# -- X4 (with X2, X3): effects by segment, nuisances by group means -----------
+_KINDS = [(t, "binary") for t in FX.BINARY_TREATMENTS] + [(t, "continuous") for t in FX.CONT_TREATMENTS]
+_SEGMENTS = ["distance_range", "roof_binary", "surface_binary"]
+_OTHERS = ", ".join(f"(sum({c}::DOUBLE) OVER g - coalesce(sum({c}::DOUBLE) OVER f, 0)) / nullif(count({c}) OVER g - count({c}) OVER f, 0) AS m_{c}"
+                    for c in ["miss", *[t for t, _ in _KINDS]])
+_EFFECTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS treatment, '{kind}' AS type, {float(FX.DELTA.get(t, 1.0)) if kind == 'continuous' else 1.0}::DOUBLE AS delta, "
+    f"miss - m_miss AS r_y, {t}::DOUBLE - m_{t} AS r_t, distance_range, roof_binary, surface_binary FROM o" for t, kind in _KINDS)
+
+
+@register("x4_effects_by_segment", rsql(f"""WITH {model_ready_ctes(True)},
+r AS (SELECT *, (1 - {FX.TARGET})::DOUBLE AS miss, floor(kick_distance / 10)::BIGINT AS distance_range,
+  floor(('0x' || substr(md5('fold42|' || attempt_id), 1, 8))::BIGINT / 4294967296.0 * 2) AS fold FROM mr),
+o AS (SELECT *, {_OTHERS} FROM r WINDOW g AS (PARTITION BY distance_range), f AS (PARTITION BY distance_range, fold)),
+e AS (SELECT * FROM ({_EFFECTS}) WHERE r_y IS NOT NULL AND r_t IS NOT NULL),
+s AS (SELECT NULL::VARCHAR AS segment, NULL::VARCHAR AS value, treatment, type, delta, r_y, r_t FROM e
+  UNION ALL SELECT 'distance_range', distance_range::VARCHAR, treatment, type, delta, r_y, r_t FROM e
+  UNION ALL SELECT 'roof_binary', roof_binary::VARCHAR, treatment, type, delta, r_y, r_t FROM e
+  UNION ALL SELECT 'surface_binary', surface_binary::VARCHAR, treatment, type, delta, r_y, r_t FROM e),
+a AS (SELECT segment, value, treatment, type, delta, sum(r_t * r_y) / nullif(sum(r_t * r_t), 0) AS theta, count(*) AS n FROM s GROUP BY ALL)
+SELECT segment, value, treatment, type, delta, theta * delta AS ATE_delta, theta AS ATE_per_unit, n FROM a""",
+                                        ["ATE_delta", "ATE_per_unit"]))
+def x4_effects_by_segment(spark, sf):
+    df = B.model_ready(spark, sf, with_history=True).withColumn("distance_range", F.floor(F.col("kick_distance") / 10))
+    residuals = FX.group_mean_residuals(df, "attempt_id", "distance_range", _KINDS, segments=_SEGMENTS)
+    return round_doubles(FX.final_stage(residuals, FX.DELTA, _SEGMENTS))

@@ -68,7 +68,7 @@ def career_stream(attempts: DataFrame) -> DataFrame:
     ship_package(attempts.sparkSession)
     df = clean.where_not_equal_keep_null(attempts, "field_goal_result", clean.BLOCKED)
     df = df.select("attempt_id", "kicker_player_id", "game_date", "play_id",
-                   (F.col("field_goal_result") == "made").cast("long").alias("y"))
+                   F.coalesce(F.col("field_goal_result") == "made", F.lit(False)).cast("long").alias("y"))
     return df.groupBy("kicker_player_id").applyInPandasWithState(
         _career_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
