@@ -8,7 +8,8 @@ groups; an A and a B token are linked where their bytes overlap.
 Method: a text is tokenised whole by both. A shared end before a token that
 starts with a blank in A and in B is an anchor; the anchors split the document
 into windows of token ids, mostly one word long. A window's alignment depends
-only on its ids, so it is found once and memoised by the two id tuples.
+only on its ids: a block's windows are memoised by their two id tuples, and each
+distinct one is aligned once, all of them in one numpy pass.
 
 Documents are gathered into blocks of at most ``BLOCK_ROWS`` rows and about
 ``BLOCK_BYTES`` bytes of text (one longer text makes a block of its own). A
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,29 +46,54 @@ from probengine.llm import token_counts
 from probengine.llm.common import Memo, prepare, written
 from probengine.llm.packing import Encoder, _byte_alphabet
 
-BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 4096, 2 << 20
+#: Words in a worker's memo of either tokenizer.
+MEMO = 1 << 17
 #: Bits of a B id in a pair's code.
 _B_BITS = 32
 
 
 class Aligner:
-    """Both tokenizers and the memo of window alignments."""
+    """Both tokenizers and the alignment of token ids."""
 
     def __init__(self, spec: str, model: bytes):
-        self.encoder = Encoder(spec, limit=1 << 17)
+        self.encoder = Encoder(spec, limit=MEMO)
         vocab, alphabet = json.loads(spec)["model"]["vocab"], _byte_alphabet()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            self.a_bytes[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else b""
+            a_bytes[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else b""
         self.processor = token_counts.load(model)
-        size = len(self.processor)
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(token_counts.MARK, " ").encode()
-                        for i, p in ((i, self.processor.id_to_piece(i)) for i in range(size))]
-        blank = np.array([self.processor.piece_to_id(token_counts.MARK)], dtype=np.uint32).tobytes()
-        self.b_words = Memo(lambda w: np.array(self.processor.encode(w), dtype=np.uint32).tobytes(), {"": blank}, limit=1 << 17)
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_blank, self.b_blank = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
-        self.windows: dict[tuple[bytes, bytes], tuple] = {}
+        pieces = [self.processor.id_to_piece(i) for i in range(len(self.processor))]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(token_counts.MARK, " ").encode() for i, p in enumerate(pieces)]
+        blank = array("I", [self.processor.piece_to_id(token_counts.MARK)]).tobytes()
+        self.b_words = Memo(lambda w: array("I", self.processor.encode(w)).tobytes(), {"": blank}, limit=MEMO)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (a_bytes, self.b_bytes))
+        self.a_blank, self.b_blank = (np.array([t[:1] == b" " for t in x]) for x in (a_bytes, self.b_bytes))
+        # each id as it is written before the next one of its kind, or as the last of its side of a group
+        sizes = len(a_bytes), len(pieces)
+        self.written = [f"{i}{end}" for n, (inner, last) in zip(sizes, (",|", ",;"), strict=True) for end in (inner, last) for i in range(n)]
+        self.written_sizes = np.array(list(map(len, self.written)), dtype=np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that a memo lacks at once, as one text each: no token of
+        either tokenizer crosses a blank between words, so its ids fall apart at the words' ends."""
+        for memo, encode, sizes, lead in ((self.encoder.blank, self.encoder.ranked.encode_ordinary, self.a_sizes, 1),
+                                          (self.b_words, self.processor.encode, self.b_sizes, 1)):
+            new = [w for w in words if w not in memo]
+            if not new:
+                continue
+            if len(memo) + len(new) > memo.limit:
+                memo.clear()
+                memo.update(memo.first)
+                new = list(words)
+            joined = " ".join(new)
+            ids = array("I", encode(" " + joined if memo is self.encoder.blank else joined))
+            ends = np.cumsum([len(w.encode()) + lead for w in new])
+            cuts = (np.searchsorted(np.cumsum(sizes[np.frombuffer(ids, dtype=np.uint32)]), ends) + 1) * 4
+            flat, at = ids.tobytes(), 0
+            for w, cut in zip(new, cuts.tolist(), strict=True):
+                memo[w] = flat[at:cut]
+                at = cut
 
     def tokens(self, text: str) -> tuple[bytes, bytes]:
         """Ids of A (for a blank and the text) and of B, as 32-bit bytes."""
@@ -75,91 +102,88 @@ class Aligner:
             words = [run[1:] for run in token_counts._RUNS.findall(" " + text.replace(token_counts.MARK, " "))]
         return self.encoder._plain(" " + text), b"".join(map(self.b_words.__getitem__, words))
 
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, np.ndarray]:
-        """A window's groups, written out, their number, and the codes of its
-        links, one per pair of occurrences that overlap."""
-        links, groups, i, j, left, right = [], [], 0, 0, 0, 0
-        a_from = b_from = 0
-        while i < len(a):
-            links.append(a[i] << _B_BITS | b[j])
-            a_end, b_end = left + int(self.a_sizes[a[i]]), right + int(self.b_sizes[b[j]])
-            if a_end <= b_end:
-                i, left = i + 1, a_end
-            if b_end <= a_end:
-                j, right = j + 1, b_end
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                a_from, b_from = i, j
-        return ";".join(groups), len(groups), np.array(links, dtype=np.int64)
-
-    def window(self, key: tuple[bytes, bytes]) -> tuple:
-        found = self.windows.get(key)
-        if found is None:
-            found = self.align(*(tuple(np.frombuffer(k, dtype=np.uint32).tolist()) for k in key))
-            if len(self.windows) >= 1 << 17:
-                self.windows.clear()
-            if len(key[0]) + len(key[1]) <= 256:
-                self.windows[key] = found
-        return found
-
-    def split(self, text: str) -> tuple[int, int, list[tuple[bytes, bytes]]]:
-        """(tokens of A, tokens of B, windows) of one text."""
+    def checked(self, text: str | None) -> tuple[bytes, bytes]:
+        """``tokens``, or none if the text has none. The ids of A always give
+        its bytes back, so their number of bytes is compared only."""
         if not text:
-            return 0, 0, []
-        left, right = self.tokens(text)
-        a, b = np.frombuffer(left, dtype=np.uint32), np.frombuffer(right, dtype=np.uint32)
+            return b"", b""
+        a, b = self.tokens(text)
         whole = (" " + text).encode()
-        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
-            return 0, 0, []
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)[:-1]
-        at_a, at_b = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
-        anchors = self.a_blank[a[at_a]] & self.b_blank[b[at_b]]
-        cuts_a = [0, *(at_a[anchors] * 4).tolist(), len(left)]
-        cuts_b = [0, *(at_b[anchors] * 4).tolist(), len(right)]
-        return len(a), len(b), [(left[s:e], right[u:v]) for s, e, u, v in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
-
+        same = (int(self.a_sizes[np.frombuffer(a, dtype=np.uint32)].sum()) == len(whole)
+                and b"".join(map(self.b_bytes.__getitem__, memoryview(b).cast("I").tolist())) == whole)
+        return (a, b) if same else (b"", b"")
 
-class _Block:
+    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin, in A and in B: behind every shared end before
+        a token that starts with a blank in both."""
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        at_b = np.searchsorted(b_ends, a_ends)
+        at_a = np.flatnonzero(b_ends[at_b] == a_ends)[:-1] if len(a) else np.empty(0, dtype=np.int64)
+        at_a, at_b = at_a + 1, at_b[at_a] + 1
+        both = self.a_blank[a[at_a]] & self.b_blank[b[at_b]]
+        return np.concatenate([[0], at_a[both]]), np.concatenate([[0], at_b[both]])
+
+    def align(self, windows: list[tuple[bytes, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window its groups, written out, their number and the number
+        of its links, and the codes of all links, window by window. The windows are
+        laid behind each other: A and B cover the same bytes, every end of either closes one link,
+        every end of both closes a group."""
+        a, b = (np.frombuffer(b"".join(w[i] for w in windows), dtype=np.uint32).astype(np.int64) for i in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        last = a_ends[np.cumsum([len(w[0]) // 4 for w in windows]) - 1]
+        ends = np.union1d(a_ends, b_ends)
+        codes = a[np.searchsorted(a_ends, ends)] << _B_BITS | b[np.searchsorted(b_ends, ends)]
+        shared = a_ends[b_ends[np.searchsorted(b_ends, a_ends)] == a_ends]
+        n_links, n_groups = (np.bincount(np.searchsorted(last, x), minlength=len(windows)) for x in (ends, shared))
+        # a group's ids of A, then of B: each id goes behind those of the other side that come first
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        items = np.empty(len(a) + len(b), dtype=np.int64)
+        n_a, n_b = len(self.a_sizes), len(self.b_sizes)
+        a_last, b_last = np.isin(a_ends, shared, assume_unique=True), np.isin(b_ends, shared, assume_unique=True)
+        items[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + n_a * a_last
+        items[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 2 * n_a + b + n_b * b_last
+        text = "".join(map(self.written.__getitem__, items.tolist()))
+        cuts = np.cumsum(self.written_sizes[items])[np.cumsum([len(w[0]) + len(w[1]) for w in windows]) // 4 - 1].tolist()
+        return [text[s:e - 1] for s, e in zip([0, *cuts], cuts, strict=False)], n_groups, n_links, codes
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs; a run may be empty."""
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([[0], np.cumsum(values)]).astype(np.int64)
+    return sums[ends] - sums[ends - sizes]
+
+
+def block_row(aligner: Aligner, number: int, keys: list, texts: list[str | None]) -> dict:
     """Documents of one block, as lists of the block's distinct windows."""
-
-    def __init__(self, aligner: Aligner):
-        self.aligner, self.place, self.found = aligner, {}, []
-        self.keys, self.n_a, self.n_b, self.sizes, self.words, self.bytes = [], [], [], [], [], 0
-
-    def add(self, key, text: str | None) -> None:
-        n_a, n_b, windows = self.aligner.split(text or "")
-        place, found = self.place, self.found
-        for w in windows:
-            at = place.get(w)
-            if at is None:
-                at = place[w] = len(found)
-                found.append(self.aligner.window(w))
-            self.words.append(at)
-        self.keys.append(key)
-        self.n_a.append(n_a)
-        self.n_b.append(n_b)
-        self.sizes.append(len(windows))
-        self.bytes += len(text or "")
-
-    def row(self, block: int) -> dict:
-        links = [f[2] for f in self.found]
-        counts = np.array(list(map(len, links)), dtype=np.int64)
-        pairs, linked = np.unique(np.concatenate([*links, np.empty(0, dtype=np.int64)]), return_inverse=True)
-        words, sizes = np.array(self.words, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
-        # each document's distinct windows, then its distinct pairs
-        held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(links)) + words)
-        doc, word = np.divmod(held, max(1, len(links)))
-        starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        n = counts[word]
-        flat = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(n)[:-1]])[:len(n)], n) + np.arange(n.sum())
-        held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + linked[flat])
-        docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
-        return {"block": block, "keys": self.keys, "n_a": self.n_a, "n_b": self.n_b,
-                "sizes": sizes.astype(np.int32).tobytes(), "words": words.astype(np.int32).tobytes(),
-                "texts": [f[0] for f in self.found], "groups": np.array([f[1] for f in self.found], dtype=np.int32).tobytes(),
-                "links": counts.astype(np.int32).tobytes(), "linked": linked.astype(np.int32).tobytes(),
-                "pairs": pairs.tobytes(), "docs": docs.astype(np.int32).tobytes()}
+    words = set()
+    for t in texts:
+        words.update((t or "").split(" "))
+    aligner.learn({w for w in words if w and len(w) <= 64 and not w[-1].isspace() and not w[0].isspace() and token_counts.MARK not in w})
+    found = [aligner.checked(t) for t in texts]
+    left, right = b"".join(f[0] for f in found), b"".join(f[1] for f in found)
+    n_a, n_b = (np.array([len(f[i]) // 4 for f in found], dtype=np.int64) for i in (0, 1))
+    # every document starts with a blank in both, so its start is an anchor
+    at_a, at_b = aligner.anchors(np.frombuffer(left, dtype=np.uint32), np.frombuffer(right, dtype=np.uint32))
+    place: dict[tuple[bytes, bytes], int] = {}
+    cuts = zip((at_a * 4).tolist(), [*(at_a[1:] * 4).tolist(), len(left)], (at_b * 4).tolist(), [*(at_b[1:] * 4).tolist(), len(right)], strict=True)
+    words = [place.setdefault((left[s:e], right[u:v]), len(place)) for s, e, u, v in cuts] if left else []
+    words = np.array(words, dtype=np.int64)
+    sizes = np.diff(np.searchsorted(at_a, np.concatenate([[0], np.cumsum(n_a)])) if left else np.zeros(len(n_a) + 1, dtype=np.int64))
+    none = np.empty(0, dtype=np.int64)
+    written_groups, n_groups, n_links, codes = aligner.align(list(place)) if place else ([], none, none, none)
+    pairs, linked = np.unique(codes, return_inverse=True)
+    # each document's distinct windows, then its distinct pairs
+    held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(place)) + words)
+    doc, word = np.divmod(held, max(1, len(place)))
+    n = n_links[word]
+    starts = np.cumsum(n_links)[word] - n
+    flat = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + linked[flat])
+    docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+    ints = {"sizes": sizes, "words": words, "groups": n_groups, "links": n_links, "linked": linked, "docs": docs}
+    return {"block": number, "keys": keys, "n_a": n_a.tolist(), "n_b": n_b.tolist(), "texts": written_groups, "pairs": pairs.tobytes(),
+            **{k: v.astype(np.int32).tobytes() for k, v in ints.items()}}
 
 
 _BUILT: dict[str, Aligner] = {}
@@ -183,16 +207,22 @@ def blocks(df: DataFrame, a_path: str, b_path: str, key: str, text: str) -> Data
         if digest not in _BUILT:
             _BUILT.clear()
             _BUILT[digest] = Aligner(*shared.value)
-        number = TaskContext.get().partitionId() << 32
-        block = _Block(_BUILT[digest])
+        aligner, number = _BUILT[digest], TaskContext.get().partitionId() << 32
+        keys, held, size = [], [], 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([block_row(aligner, number, keys, held)], schema=arrow)
+
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.add(k, t)
-                if len(block.keys) >= BLOCK_ROWS or block.bytes >= BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pylist([block.row(number)], schema=arrow)
-                    number, block = number + 1, _Block(_BUILT[digest])
-        if block.keys:
-            yield pa.RecordBatch.from_pylist([block.row(number)], schema=arrow)
+                keys.append(k)
+                held.append(t)
+                size += len(t or "")
+                if len(keys) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+                    yield full()
+                    number, keys, held, size = number + 1, [], [], 0
+        if keys:
+            yield full()
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(gathered, schema)
 
@@ -237,16 +267,10 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
         if not np.array_equal(codes[order], pairs):
             raise ValueError("the counts of a block's pairs are not complete")
 
-        def totals(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-            """Sums of consecutive runs; a run may be empty."""
-            ends = np.cumsum(sizes)
-            sums = np.concatenate([[0], np.cumsum(values)]).astype(np.int64)
-            return sums[ends] - sums[ends - sizes]
-
         count = counted["n_docs"].to_numpy()[order][ints["linked"]]
         best = counted["best"].to_numpy(zero_copy_only=False)[order][ints["linked"]]
-        per_window = [ints["groups"], ints["links"], totals(best, ints["links"]), totals(count, ints["links"])]
-        per_doc = [totals(v[ints["words"]], ints["sizes"]) for v in per_window]
+        per_window = [ints["groups"], ints["links"], _sums(best, ints["links"]), _sums(count, ints["links"])]
+        per_doc = [_sums(v[ints["words"]], ints["sizes"]) for v in per_window]
         ends, texts, words = np.cumsum(ints["sizes"]).tolist(), row["texts"], ints["words"].tolist()
         groups = [";".join(map(texts.__getitem__, words[e - n:e])) for e, n in zip(ends, ints["sizes"].tolist(), strict=True)]
         return pa.Table.from_arrays([pa.array(row["keys"], type=arrow.field(0).type), pa.array(row["n_a"]), pa.array(row["n_b"]),
