@@ -37,7 +37,8 @@ from pyspark.sql.functions import arrow_udf
 
 from probengine.llm.common import prepare, texts
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+# a quote opens a value only behind =, and only if it is closed; else the tag ends at the next >
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -58,6 +59,8 @@ _COMMENTS = frozenset(("comment", "comments", "disqus", "respond"))
 #: Words that name such a part together with one of them, as in "ad-slot".
 _LAYOUT = frozenset("area bar block bottom box btn button buttons container form icons inner item items left link links list panel posts "
                     "right section signup site slot thread top unit wrap wrapper".split())
+#: Containers that say nothing themselves.
+_PLAIN = frozenset("div ul ol li span".split())
 #: Elements whose id is made from their title.
 _TITLED = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -72,6 +75,18 @@ def _named(value: str, marks: frozenset[str]) -> bool:
     return False
 
 
+def _ends_in(value: str, marks: frozenset[str]) -> bool:
+    """Whether a name in ``value`` ends in one of ``marks``, but for words of
+    layout ("user-comment", "site-notice-bar", not "comment-theory")."""
+    for name in value.split():
+        words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+        while words and words[-1] in _LAYOUT and words[-1] not in marks:
+            words.pop()
+        if words and words[-1] in marks:
+            return True
+    return False
+
+
 def _dropped(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED or (name == "header" and not in_article):
         return True
@@ -86,6 +101,9 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if (key in ("class", "role") or (key == "id" and not titled)) and _named(value, marks):
             return True
+        # classes of plain containers need only end in such a word; those of sections and headings may speak of it
+        if key == "class" and name in _PLAIN and _ends_in(value, marks):
+            return True
     return False
 
 

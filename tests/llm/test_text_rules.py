@@ -222,3 +222,46 @@ def test_tool_calls_run_no_python(spark):
 @pytest.mark.parametrize("name", ["op3_quality", "op5_tool_calls"])
 def test_native_queries_are_registered_with_sql(name):
     assert name in queries.ORACLE_SQL
+
+
+def test_a_quote_opens_a_value_only_behind_an_equals_sign():
+    weight = pages.weights({})
+    assert pages.main_text('<article><p align=center">Hello there friend of mine</p><p>More text of the story</p></article>', weight) == (
+        "Hello there friend of mine\n\nMore text of the story")
+    assert pages.main_text("<p title=don't>One two three</p><p>It's four five</p>", weight) == "One two three\n\nIt's four five"
+    assert pages.main_text('<p title="a>b" class = \'c>d\'>One two three</p><p title="never closed>four five six</p>', weight) == "One two three\n\nfour five six"
+
+
+@pytest.mark.parametrize("name", ["user-comment", "post-comments", "site-notice-bar", "reader_comments list", "home-advert"])
+def test_containers_whose_class_ends_in_a_known_word_go(name):
+    weight = pages.weights({})
+    inner = f'<div class="{name}"><p>nice post</p></div>'
+    assert pages.main_text(f"<article><p>One two three.</p>{inner}<p>Four five.</p></article>", weight) == "One two three.\n\nFour five."
+    assert pages.main_text(f"<article><p>One two three.</p></article>{inner}", weight) == "One two three."
+
+
+def test_containers_and_sections_that_speak_of_such_words_stay():
+    weight = pages.weights({})
+    page = ('<article><div class="comment-theory">Kept one here.</div><section class="climate-notice"><p>Kept two here.</p></section>'
+            '<h2 class="on-comments">Kept three</h2></article>')
+    assert pages.main_text(page, weight) == "Kept one here.\n\nKept two here.\n\nKept three"
+
+
+def test_the_scan_finds_the_best_of_all_runs():
+    """Against the sums of all contiguous runs of tokens."""
+    rng = random.Random(11)
+    for _ in range(300):
+        weight = {k: -rng.random() * 3 for k in ("p", "/p", "a", "/a", "li", "/li")} | {"word": rng.random() + 0.1, "unseen": -1.0}
+        parts = [rng.choice(["<p>", "</p>", "<a href=x>", "</a>", "<li>", "</li>", " w%d x " % i, " y%d " % i]) for i in range(rng.randrange(1, 25))]
+        found = [t for t in pages.tokens("".join(parts)) if not t[3]]
+        score = [weight["word"] * len(t.split()) if k == "word" else weight[k] for k, t, *_ in found]
+        best = max((sum(score[i:j]) for i in range(len(found)) for j in range(i + 1, len(found) + 1)), default=0.0)
+        words = [w for i in range(len(found)) for j in range(i + 1, len(found) + 1) if abs(sum(score[i:j]) - best) < 1e-9
+                 for w in [" ".join(" ".join(t for k, t, *_ in found[i:j] if k == "word").split())]]
+        got = " ".join(pages.main_text("".join(parts), weight).split())
+        assert got in words if best > 1e-9 else got == ""
+
+
+def test_empty_table_of_pages(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert queries.QUERIES["op4_main_text"](spark, save(spark, tmp_path, pages=none)).collect() == []
