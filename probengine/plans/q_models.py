@@ -27,6 +27,7 @@ from probengine.operators.clean import FEATURES, TARGET
 from probengine.operators.folds import balanced_weights, stratified_folds
 from probengine.operators.models import gam as G
 from probengine.operators.models import linear as L
+from probengine.operators.models import saved as SV
 from probengine.operators.models import search as S
 from probengine.operators.models import trees as T
 from probengine.operators.split import train_test
@@ -211,16 +212,12 @@ def b1(spark, sf):
     bag = T.fit_bagging(train, FEATURES, TARGET, "attempt_id")
     gbt = T.fit_boosting(train, FEATURES, TARGET, "attempt_id")
     models = {"bagging": bag, "boosting": gbt, "gam": gam, "logreg": lr}
-    scen = SC.validate_scenarios(test.select("attempt_id", *FEATURES))
-    cur_train, cur = train, scen
-    for name, m in models.items():
-        # in-sample calibrators per inclusive distance bucket (the presentation flow)
-        raw = cut_lineage(m.transform(cur_train.select(TARGET, *FEATURES), out="p_raw"))   # scored once
-        cal = CAL.fit_inclusive(raw, "kick_distance", "p_raw", TARGET)
-        cur = CAL.apply_inclusive(m.transform(cur, out="p_raw"), cal, "kick_distance", "p_raw",
-                                  f"p_{name}").drop("p_raw")
-    out = cur.withColumn("p_make", SC.fixed_blend(SC.PRESENTATION_WEIGHTS))
-    out = SC.make_miss(out, "p_make")
+    # in-sample calibrators per inclusive distance bucket (the presentation flow); the
+    # ensemble is saved, and the scenarios are scored by what is read back
+    fitted = SV.CalibratedEnsemble.fit_calibrators(models, train.select(TARGET, *FEATURES), TARGET, SC.PRESENTATION_WEIGHTS)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ensemble-{uuid.uuid4().hex}"
+    fitted.save(spark, path)
+    out = SV.CalibratedEnsemble.load(spark, path).transform(SC.validate_scenarios(test.select("attempt_id", *FEATURES)))
     return round_doubles(out.select("attempt_id", *[f"p_{m}" for m in models], "p_make",
                                     "p_miss", "pred_make", "violations"))
 
