@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ from probengine.llm.packing import Encoder, _byte_alphabet
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 2 << 20
 #: Words in a worker's memo of either tokenizer.
-MEMO = 1 << 17
+MEMO = 1 << 16
 #: Bits of a B id in a pair's code.
 _B_BITS = 32
 
@@ -181,9 +182,23 @@ def block_row(aligner: Aligner, number: int, keys: list, texts: list[str | None]
     flat = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
     held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + linked[flat])
     docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
-    ints = {"sizes": sizes, "words": words, "groups": n_groups, "links": n_links, "linked": linked, "docs": docs}
-    return {"block": number, "keys": keys, "n_a": n_a.tolist(), "n_b": n_b.tolist(), "texts": written_groups, "pairs": pairs.tobytes(),
-            **{k: v.astype(np.int32).tobytes() for k, v in ints.items()}}
+    return {"block": number, "keys": keys, "pairs": pairs.tobytes(), "docs": docs.astype(np.int32).tobytes(),
+            "packed": pack(written_groups, n_a, n_b, sizes, words, n_groups, n_links, linked)}
+
+
+def pack(written_groups: list[str], *arrays: np.ndarray) -> bytes:
+    """Strings without line feeds and arrays of 32-bit numbers, compressed."""
+    parts = ["\n".join(written_groups).encode(), *[a.astype(np.int32).tobytes() for a in arrays]]
+    head = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *parts]))
+
+
+def unpack(packed: bytes) -> tuple[list[str], list[np.ndarray]]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    ends = np.cumsum(np.frombuffer(data, dtype=np.int64, count=n, offset=8)) + 8 * (n + 1)
+    parts = [data[e - s:e] for e, s in zip(ends.tolist(), np.diff(ends, prepend=8 * (n + 1)).tolist(), strict=True)]
+    return parts[0].decode().split("\n"), [np.frombuffer(p, dtype=np.int32).astype(np.int64) for p in parts[1:]]
 
 
 _BUILT: dict[str, Aligner] = {}
@@ -198,9 +213,7 @@ def blocks(df: DataFrame, a_path: str, b_path: str, key: str, text: str) -> Data
     digest = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
     shared = spark.sparkContext.broadcast(files)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(df.schema[key].dataType)),
-                           *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("n_a", "n_b")],
-                           T.StructField("texts", T.ArrayType(T.StringType())),
-                           *[T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "groups", "links", "linked", "pairs", "docs")]])
+                           *[T.StructField(c, T.BinaryType()) for c in ("pairs", "docs", "packed")]])
     arrow = to_arrow_schema(schema)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,20 +273,19 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
 
     def finish(block: pa.Table, counted: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        ints = {c: np.frombuffer(row[c], dtype=np.int32).astype(np.int64) for c in ("sizes", "words", "groups", "links", "linked")}
+        found, (n_a, n_b, sizes, words, n_groups, n_links, linked) = unpack(row["packed"])
         pairs = np.frombuffer(row["pairs"], dtype=np.int64)
         codes = (counted["a_id"].to_numpy().astype(np.int64) << _B_BITS) | counted["b_id"].to_numpy().astype(np.int64)
         order = np.argsort(codes)
         if not np.array_equal(codes[order], pairs):
             raise ValueError("the counts of a block's pairs are not complete")
 
-        count = counted["n_docs"].to_numpy()[order][ints["linked"]]
-        best = counted["best"].to_numpy(zero_copy_only=False)[order][ints["linked"]]
-        per_window = [ints["groups"], ints["links"], _sums(best, ints["links"]), _sums(count, ints["links"])]
-        per_doc = [_sums(v[ints["words"]], ints["sizes"]) for v in per_window]
-        ends, texts, words = np.cumsum(ints["sizes"]).tolist(), row["texts"], ints["words"].tolist()
-        groups = [";".join(map(texts.__getitem__, words[e - n:e])) for e, n in zip(ends, ints["sizes"].tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array(row["keys"], type=arrow.field(0).type), pa.array(row["n_a"]), pa.array(row["n_b"]),
-                                     *map(pa.array, per_doc), pa.array(groups)], schema=arrow)
+        count = counted["n_docs"].to_numpy()[order][linked]
+        best = counted["best"].to_numpy(zero_copy_only=False)[order][linked]
+        per_window = [n_groups, n_links, _sums(best, n_links), _sums(count, n_links)]
+        per_doc = [_sums(v[words], sizes) for v in per_window]
+        ends, at = np.cumsum(sizes).tolist(), words.tolist()
+        groups = [";".join(map(found.__getitem__, at[e - n:e])) for e, n in zip(ends, sizes.tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(row["keys"], type=arrow.field(0).type), *map(pa.array, (n_a, n_b, *per_doc)), pa.array(groups)], schema=arrow)
 
     return made.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
