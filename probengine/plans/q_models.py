@@ -25,6 +25,7 @@ from probengine.operators import score as SC
 from probengine.operators import stack as ST
 from probengine.operators.clean import FEATURES, TARGET
 from probengine.operators.folds import balanced_weights, stratified_folds
+from probengine.operators.models import crossfit as CF
 from probengine.operators.models import gam as G
 from probengine.operators.models import linear as L
 from probengine.operators.models import saved as SV
@@ -146,6 +147,18 @@ def v2_v7(spark, sf):
                                     F.lit(best["cv_brier"]).alias("cv_brier"), "*"))
 
 
+# -- V2 + C6: out-of-fold calibration of the bagged trees -----------------------
+@register("v2_c6_bagging_oof_calibrated_holdout")
+def v2_c6_bagging(spark, sf):
+    """Five forests by folds and the refit in one run of 3,600 trees."""
+    train, test = _split(spark, sf)
+    folded = balanced_weights(stratified_folds(train, "attempt_id", TARGET), TARGET)
+    scores = CF.bagging_scores(cut_lineage(folded), test, FEATURES, TARGET, "attempt_id", 5, weight="w_balanced")
+    scored = cut_lineage(CF.calibrated_holdout(scores, "kick_distance", "p_make", TARGET))
+    met = M.metrics(scored.select(F.col(TARGET).alias("y"), F.col("p_cal").alias("p")), "p", "y")
+    return round_doubles(met)
+
+
 # -- N8 + N7: stacked meta-logistic over context subsets ----------------------
 @register("n7_n8_stacked_meta_search")
 def n7(spark, sf):
