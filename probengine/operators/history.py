@@ -1,18 +1,10 @@
 """History-to-date features.
 
 Career attempts / makes *before* each row, per actor, in time order, plus a
-prior-history offset. Done in two levels so one very active actor is never a
-single window partition:
-
-* level 1 — per ``(actor, block)`` totals (``block`` is the calendar date by
-  default), and their exclusive running sums per actor. The rows per actor
-  here are the actor's distinct dates: bounded by the calendar, not by the
-  data volume;
-* level 2 — the in-block running count, a window per ``(actor, block)``.
-
-career = level-1 offset + level-2 in-block count + prior history.
-The shuffle keys are ``(actor, block)`` for the rows and ``actor`` for the
-small block table.
+prior-history offset. Rows are range-partitioned by (actor, block, tie-breakers), so
+neither an actor, nor one actor's day, nor the rows without an actor or a date sit in
+one task; they are numbered inside their range, and the totals of the actor's earlier
+ranges (at most one row per actor and range) are added.
 """
 
 from __future__ import annotations
@@ -35,26 +27,22 @@ def career_to_date(df: DataFrame, actor: str, block: str, tiebreak: Sequence[str
     ``(block, *tiebreak)``; the tie-breakers make it deterministic. Every row
     is kept: a NULL actor is an actor, a NULL block comes before all others."""
     prev = Window.unboundedPreceding
-    w_in = Window.partitionBy(actor, block).orderBy(*tiebreak)
-    # written once, as the block totals and the result both read it: the input
-    # is scanned once
-    rows = materialise(df.withColumns({
-        "_in_n": F.row_number().over(w_in) - 1,
-        "_in_y": F.coalesce(F.sum(y).over(w_in.rowsBetween(prev, -1)), F.lit(0)),
-    }))
-    blocks = (rows.groupBy(F.col(actor).alias("_actor"), F.col(block).alias("_block"))
+    # written once, so that the ranges are the same for the totals and the result
+    rows = materialise(df.repartitionByRange(actor, block, *tiebreak).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(actor, "_range").orderBy(block, *tiebreak)
+    rows = rows.withColumns({"_in_n": F.row_number().over(inside) - 1,
+                             "_in_y": F.coalesce(F.sum(y).over(inside.rowsBetween(prev, -1)), F.lit(0))})
+    ranges = (rows.groupBy(F.col(actor).alias("_actor"), F.col("_range").alias("_at"))
               .agg(F.count(F.lit(1)).alias("_bn"), F.sum(y).alias("_by")))
-    w_blk = Window.partitionBy("_actor").orderBy("_block").rowsBetween(prev, -1)
-    blocks = blocks.select(
-        "_actor", "_block",
-        F.coalesce(F.sum("_bn").over(w_blk), F.lit(0)).alias("_off_n"),
-        F.coalesce(F.sum("_by").over(w_blk), F.lit(0)).alias("_off_y"))
-    # null-safe: rows without an actor or a date are one block of their own
-    out = rows.join(blocks, rows[actor].eqNullSafe(blocks["_actor"]) & rows[block].eqNullSafe(blocks["_block"]))
+    before = Window.partitionBy("_actor").orderBy("_at").rowsBetween(prev, -1)
+    ranges = ranges.select("_actor", "_at", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off_n"),
+                           F.coalesce(F.sum("_by").over(before), F.lit(0)).alias("_off_y"))
+    # null-safe: rows without an actor are those of one actor
+    out = rows.join(ranges, rows[actor].eqNullSafe(ranges["_actor"]) & (rows["_range"] == ranges["_at"]))
     pa = F.col(prior_attempts) if prior_attempts else F.lit(0)
     pm = F.col(prior_makes) if prior_makes else F.lit(0)
     att = (F.col("_off_n") + F.col("_in_n")).cast("double") + pa
     mk = (F.col("_off_y") + F.col("_in_y")).cast("double") + pm
     out = out.withColumns({out_attempts: att, out_makes: mk})
     out = out.withColumn(out_rate, safe_ratio(out_makes, out_attempts))
-    return out.drop("_in_n", "_in_y", "_off_n", "_off_y", "_actor", "_block")
+    return out.drop("_in_n", "_in_y", "_off_n", "_off_y", "_actor", "_at", "_range")

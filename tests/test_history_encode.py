@@ -135,3 +135,25 @@ def test_a_cluster_must_name_the_shared_folder(monkeypatch):
     fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_one_actor_day_and_null_keys_are_spread_over_ranges(spark):
+    """Nine rows of ten have one actor and one date, or neither."""
+    from pyspark.sql import functions as F
+
+    from probengine.operators.history import career_to_date
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).when(F.col("id") % 10 < 6, F.lit(99)).alias("actor"),
+        F.when(F.col("id") % 10 < 6, F.lit("2020-01-01").cast("date")).alias("day"), (F.col("id") * 7919 % 4001).alias("tie"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = career_to_date(df, "actor", "day", ["tie"], "y")
+    assert out.columns == [*df.columns, "career_attempts", "career_makes", "career_fg_pct"]
+    plain = {}
+    want = {}
+    rows = sorted(df.collect(), key=lambda r: (str(r.actor), r.day is not None, r.day, r.tie) if r.day else (str(r.actor), False, None, r.tie))
+    for r in rows:
+        n, m = plain.get(r.actor, (0, 0))
+        want[r.actor, r.tie] = n, m
+        plain[r.actor] = n + 1, m + r.y
+    assert {(r.actor, r.tie): (r.career_attempts, r.career_makes) for r in out.collect()} == want
+    biggest = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.count("*")).first()
+    assert biggest[1] == 1 or biggest[0] < 4000
