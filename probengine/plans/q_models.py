@@ -160,7 +160,7 @@ def v2_c6_bagging(spark, sf):
 
 
 # -- N8 + N7: stacked meta-logistic over context subsets ----------------------
-@register("n7_n8_stacked_meta_search")
+@register("n7_stacked_meta_search")
 def n7(spark, sf):
     mr = B.model_ready(spark, sf, with_history=True)
     wide = B.wide_predictions(spark, sf)
