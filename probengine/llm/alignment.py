@@ -49,7 +49,7 @@ from probengine.llm.packing import Encoder, _byte_alphabet
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 2 << 20
 #: Words in a worker's memo of either tokenizer.
-MEMO = 1 << 16
+MEMO = 1 << 18
 #: Bits of a B id in a pair's code.
 _B_BITS = 32
 
