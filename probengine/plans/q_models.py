@@ -13,6 +13,7 @@ rounds, 40 search candidates.
 from __future__ import annotations
 
 import uuid
+from concurrent import futures
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def _split(spark, sf):
     return train, test
 
 
+def _together(fits):
+    """Independent fits submitted at the same time: while one waits for its
+    last tasks, the others use the free slots."""
+    with futures.ThreadPoolExecutor(max_workers=len(fits)) as pool:
+        running = {name: pool.submit(fit) for name, fit in fits.items()}
+        return {name: run.result() for name, run in running.items()}
+
+
 def _out(df):
     return round_doubles(df.select("attempt_id", F.col(TARGET).alias("y"), "p_make"))
 
@@ -182,14 +191,14 @@ def n8(spark, sf):
     tr, rows, feats = _tree_frames(balanced_weights(train, TARGET), both)
     tr, rows = cut_lineage(tr), cut_lineage(rows)
     smooth = [c for c in feats if c != "kicker_id"]
-    boot = L.fit_bootstrap_logistic(tr, smooth, TARGET, "attempt_id", sample_weight="w_balanced")
-    scored = {
-        "logreg": L.fit_logistic(tr, smooth, TARGET, L.TUNED_C, sample_weight="w_balanced").transform(rows),
-        "bootstrap": L.predict_average(boot, rows),
-        "bagging": T.fit_bagging(tr, feats, TARGET, "attempt_id", weight="w_balanced").transform(rows),
-        "boosting": T.fit_boosting(tr, feats, TARGET, "attempt_id", weight="w_balanced", monotone=FALLS).transform(rows),
-        "gam": G.fit_gam(tr, smooth, TARGET, weight="w_balanced").transform(rows),
-    }
+    fitted = _together({
+        "logreg": lambda: L.fit_logistic(tr, smooth, TARGET, L.TUNED_C, sample_weight="w_balanced"),
+        "bootstrap": lambda: L.fit_bootstrap_logistic(tr, smooth, TARGET, "attempt_id", sample_weight="w_balanced"),
+        "bagging": lambda: T.fit_bagging(tr, feats, TARGET, "attempt_id", weight="w_balanced"),
+        "boosting": lambda: T.fit_boosting(tr, feats, TARGET, "attempt_id", weight="w_balanced", monotone=FALLS),
+        "gam": lambda: G.fit_gam(tr, smooth, TARGET, weight="w_balanced"),
+    })
+    scored = {name: L.predict_average(m, rows) if name == "bootstrap" else m.transform(rows) for name, m in fitted.items()}
     long = None
     for name, df in scored.items():
         raw = cut_lineage(df.select("attempt_id", "_part", "kick_distance", F.col(TARGET).alias("y"), F.col("p_make").alias("p_raw")))
@@ -220,11 +229,12 @@ def x5(spark, sf):
 @register("b1_scenario_batch_scoring")
 def b1(spark, sf):
     train, test = _split(spark, sf)
-    lr = L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, class_balanced=False, scale=False)
-    gam = G.fit_gam(train, FEATURES, TARGET)
-    bag = T.fit_bagging(train, FEATURES, TARGET, "attempt_id")
-    gbt = T.fit_boosting(train, FEATURES, TARGET, "attempt_id")
-    models = {"bagging": bag, "boosting": gbt, "gam": gam, "logreg": lr}
+    models = _together({
+        "bagging": lambda: T.fit_bagging(train, FEATURES, TARGET, "attempt_id"),
+        "boosting": lambda: T.fit_boosting(train, FEATURES, TARGET, "attempt_id"),
+        "gam": lambda: G.fit_gam(train, FEATURES, TARGET),
+        "logreg": lambda: L.fit_logistic(train, FEATURES, TARGET, L.TUNED_C, class_balanced=False, scale=False),
+    })
     # in-sample calibrators per inclusive distance bucket (the presentation flow); the
     # ensemble is saved, and the scenarios are scored by what is read back
     fitted = SV.CalibratedEnsemble.fit_calibrators(models, train.select(TARGET, *FEATURES), TARGET, SC.PRESENTATION_WEIGHTS)
