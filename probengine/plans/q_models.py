@@ -27,6 +27,8 @@ from probengine.operators import stack as ST
 from probengine.operators.clean import FEATURES, TARGET
 from probengine.operators.folds import balanced_weights, stratified_folds
 from probengine.operators.models import crossfit as CF
+from probengine.operators.models import cv_bootstrap as CB
+from probengine.operators.models import cv_gam as CG
 from probengine.operators.models import gam as G
 from probengine.operators.models import linear as L
 from probengine.operators.models import saved as SV
@@ -156,6 +158,60 @@ def v2_v7(spark, sf):
                                     F.lit(best["cv_brier"]).alias("cv_brier"), "*"))
 
 
+def _tuned(scores, found):
+    """The calibrated holdout's metrics beside the winner of the search."""
+    ci, best, brier = found
+    scored = cut_lineage(CF.calibrated_holdout(scores, "kick_distance", "p_make", TARGET))
+    met = M.metrics(scored.select(F.col(TARGET).alias("y"), F.col("p_cal").alias("p")), "p", "y")
+    return round_doubles(met.select(F.lit(ci).alias("best_candidate"), *[F.lit(v).alias(f"best_{k}") for k, v in best.items()],
+                                    F.lit(brier).alias("cv_brier"), "*"))
+
+
+def _own(cv, ci):
+    return cv.frame.rows.select("kick_distance", F.col("_y").cast("int").alias(TARGET), cv.oof_probability(ci).alias("p_make"))
+
+
+# -- V1-V5, V7, C6: entry point B for the spline model --------------------------
+@register("v2_v7_gam_tune_calibrate_holdout")
+def v2_v7_gam(spark, sf):
+    """40 candidates of penalty and spline count x 5 folds in shared IRLS
+    passes, the winner's out-of-fold scores calibrated, the refit scored."""
+    train, test = _split(spark, sf)
+    folded = stratified_folds(train, "attempt_id", TARGET)
+    cv = CG.cv_gam_batched(folded, FEATURES, TARGET, S.random_grid(CG.GRID, CG.N_CANDIDATES), category=_CAT)
+    found = S.select_best(cv.results())
+    tr, te, _ = _tree_frames(train, test)
+    m = G.fit_gam(balanced_weights(tr, TARGET), [*FEATURES, "kicker_te"], TARGET, weight="w_balanced", lam=found[1]["lam"],
+                  n_basis=found[1]["n_splines"], max_iter=CG.MAX_ITER)
+    return _tuned((_own(cv, found[0]), m.transform(te)), found)
+
+
+# -- V1-V7, C6: entry point B for the bootstrap-averaged logistic regression ----
+@register("v2_v7_bootstrap_tune_calibrate_holdout")
+def v2_v7_bootstrap(spark, sf):
+    """50 candidates of strength and penalty x 5 folds x 10 replicates in
+    shared Newton passes, then as for the spline model."""
+    train, test = _split(spark, sf)
+    folded = stratified_folds(train, "attempt_id", TARGET)
+    cv = CB.cv_bootstrap_batched(folded, FEATURES, TARGET, "attempt_id", S.random_grid(CB.grid(), CB.N_CANDIDATES), category=_CAT)
+    found = S.select_best(cv.results())
+    tr, te, _ = _tree_frames(train, test)
+    m = CB.fit_bootstrap(tr, [*FEATURES, "kicker_te"], TARGET, "attempt_id", **found[1])
+    return _tuned((_own(cv, found[0]), m.transform(te)), found)
+
+
+# -- V2 + C6: out-of-fold calibration of the boosted trees ----------------------
+@register("v2_c6_boosting_oof_calibrated_holdout")
+def v2_c6_boosting(spark, sf):
+    """Five fold models and the refit, 1,800 rounds each, fitted at the same time."""
+    train, test = _split(spark, sf)
+    folded = cut_lineage(balanced_weights(stratified_folds(train, "attempt_id", TARGET), TARGET))
+    fit = lambda rows: T.fit_boosting(rows, FEATURES, TARGET, "attempt_id", weight="w_balanced", monotone=FALLS)
+    scored = CF.model_scores(folded, cut_lineage(test), fit, 5)
+    met = cut_lineage(CF.calibrated_holdout(scored, "kick_distance", "p_make", TARGET))
+    return round_doubles(M.metrics(met.select(F.col(TARGET).alias("y"), F.col("p_cal").alias("p")), "p", "y"))
+
+
 # -- V2 + C6: out-of-fold calibration of the bagged trees -----------------------
 @register("v2_c6_bagging_oof_calibrated_holdout")
 def v2_c6_bagging(spark, sf):
