@@ -72,15 +72,11 @@ class BootstrapModel:
     betas: np.ndarray                # (1 + features) x replicates
 
     def probability(self) -> Column:
-        z = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(self.columns, self.mean, self.sd, strict=True)]
-        ps = []
-        for b in self.betas.T:
-            eta = F.lit(float(b[0]))
-            for v, x in zip(b[1:], z, strict=True):
-                if v:
-                    eta = eta + F.lit(float(v)) * x
-            ps.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)))
-        return sum(ps[1:], ps[0]) / F.lit(float(len(ps)))
+        z = F.array(F.lit(1.0), *[(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(self.columns, self.mean, self.sd, strict=True)])
+        betas = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in self.betas.T])
+        eta = lambda b: F.aggregate(F.zip_with(b, z, lambda v, x: v * x), F.lit(0.0), lambda a, x: a + x)
+        total = F.aggregate(betas, F.lit(0.0), lambda a, b: a + F.lit(1.0) / (F.lit(1.0) + F.exp(-eta(b))))
+        return total / F.lit(float(self.betas.shape[1]))
 
     def transform(self, df: DataFrame, out: str = "p_make") -> DataFrame:
         return df.withColumn(out, self.probability())
@@ -99,13 +95,10 @@ class CvBootstrap:
         return [(ci, c, float(np.mean([self.briers[ci, f] for f in folds])) if all((ci, f) in self.models for f in folds) else CRASH_SCORE)
                 for ci, c in enumerate(self.candidates)]
 
-    def oof_probability(self, ci: int) -> Column:
-        p = None
-        for f in range(self.frame.n_folds):
-            m = self.models.get((ci, f))
-            one = F.lit(0.5) if m is None else m.probability()
-            p = F.when(F.col("_f") == f, one) if p is None else p.when(F.col("_f") == f, one)
-        return p
+    def out_of_fold(self, ci: int, out: str = "p_make") -> DataFrame:
+        """The frame's rows with P(make) by the candidate's model that did
+        not see their fold."""
+        return self.frame.scored_by_fold({f: self.models.get((ci, f)) for f in range(self.frame.n_folds)}, out)
 
 
 def cv_bootstrap_batched(folded: DataFrame, features: Sequence[str], label: str, key: str, candidates: Sequence[dict],

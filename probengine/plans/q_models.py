@@ -168,7 +168,7 @@ def _tuned(scores, found):
 
 
 def _own(cv, ci):
-    return cv.frame.rows.select("kick_distance", F.col("_y").cast("int").alias(TARGET), cv.oof_probability(ci).alias("p_make"))
+    return cv.out_of_fold(ci).select("kick_distance", F.col("_y").cast("int").alias(TARGET), "p_make")
 
 
 # -- V1-V5, V7, C6: entry point B for the spline model --------------------------

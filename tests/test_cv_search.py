@@ -26,7 +26,7 @@ FEATS = ["kick_distance", "z"]
 def test_gam_search_equals_separate_fits(folded):
     cands = [{"lam": 1.0, "n_splines": 8}, {"lam": 30.0, "n_splines": 12}, {"lam": 1.0, "n_splines": 8}]
     cv = CG.cv_gam_batched(folded, FEATS, "y", cands, n_folds=3, keep=["id"])
-    oof = {r["id"]: r["p"] for r in cv.frame.rows.select("id", cv.oof_probability(1).alias("p")).collect()}
+    oof = {r["id"]: r["p"] for r in cv.out_of_fold(1, "p").collect()}
     assert len(oof) == 900
     for ci, c in enumerate(cands[:2]):
         scores = []
@@ -47,7 +47,7 @@ def test_fold_without_a_class_scores_one(folded):
     cv = CG.cv_gam_batched(only, FEATS, "y", [{"lam": 1.0, "n_splines": 8}], n_folds=3)
     assert cv.results()[0][2] == 1.0
     # the model without fold 0 sees one class only: constant 0.5 (M8)
-    p = {(r["_f"], r["p"]) for r in cv.frame.rows.select("_f", cv.oof_probability(0).alias("p")).collect() if r["_f"] == 0}
+    p = {(r["_f"], r["p"]) for r in cv.out_of_fold(0, "p").collect() if r["_f"] == 0}
     assert p == {(0, 0.5)}
     cb = CB.cv_bootstrap_batched(only, FEATS, "y", "id", [{"C": 1.0, "penalty": "l1"}], n_folds=3)
     assert cb.results()[0][2] == 1.0
@@ -58,7 +58,7 @@ def test_encodings_come_from_the_other_folds(folded):
     runs = []
     for df in (folded, other):
         cv = CB.cv_bootstrap_batched(df, FEATS, "y", "id", [{"C": 0.1, "penalty": "l2"}], category="who", n_folds=3, replicates=3, keep=["id"])
-        runs.append({r["id"]: (r["_f"], r["p"]) for r in cv.frame.rows.select("id", "_f", cv.oof_probability(0).alias("p")).collect()})
+        runs.append({r["id"]: (r["_f"], r["p"]) for r in cv.out_of_fold(0, "p").collect()})
     a, b = runs
     assert all(abs(a[i][1] - b[i][1]) < 1e-9 for i in a if a[i][0] == 1)
     assert any(abs(a[i][1] - b[i][1]) > 1e-6 for i in a if a[i][0] != 1)
