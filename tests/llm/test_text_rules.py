@@ -210,6 +210,53 @@ def test_tool_calls_are_linked_levelled_and_validated(spark):
     assert json.loads(got[1, "a", "linked"].json)["result"] == 'A "q"\n'
 
 
+def test_plain_turns_wait_for_the_turn_they_follow(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], "x" * (t * 10)) for t in range(61) if t != 20]     # two chains: 0-18, 22-60
+    rows += [(1, 62, "user", "again"), (1, 62, "user", "again"), (1, 63, "assistant", "z"), (2, 3, "user", "y" * 256), (2, 5, "user", "y" * 257)]
+    got = {(r.conv_id, r.call_id): r for r in chat.link(messages(spark, rows)).collect() if r.call_turn is not None}
+    want = {(1, f"turn-{t}"): (t // 2 if t < 20 else (t - 22) // 2, t == 62 or t * 10 <= 256) for t in range(0, 63, 2) if t != 20}
+    want |= {(2, "turn-3"): (0, True), (2, "turn-5"): (1, False)}
+    assert {k: (r.level, r.valid) for k, r in got.items()} == want
+
+
+def test_levels_equal_the_longest_paths(spark):
+    """Random graphs with chains, meets, cycles and unknown ids, against
+    plain rounds."""
+    rng, rows, want = random.Random(4), [], {}
+    for conv in range(12):
+        n = 14
+        after = {i: [f"c{j}" for j in rng.sample(range(n + 2), rng.choice((0, 1, 1, 1, 2, 3))) if j < i or j >= n or rng.random() < 0.08] for i in range(n)}
+        level, left = {}, dict(after)
+        while True:
+            ready = {i: 1 + max((level[int(b[1:])] for b in bs if int(b[1:]) < n), default=-1)
+                     for i, bs in left.items() if all(int(b[1:]) in level or int(b[1:]) >= n for b in bs)}
+            if not ready:
+                break
+            level |= ready
+            left = {i: bs for i, bs in left.items() if i not in ready}
+        rows += [(conv, i, f"c{i}", "t", "{}", bs) for i, bs in after.items()]
+        want |= {(conv, f"c{i}"): v for i, v in level.items()}
+    assert 0 < len(want) < len(rows)
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, call_id string, name string, arguments string, after array<string>")
+    got = chat.levels(calls).collect()
+    assert len(got) == len(want) and {(r.conv_id, r.call_id): r.level for r in got} == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(chat, "written", lambda df, keep=chat.written: tables.append(1) or keep(df))
+    calls = spark.range(1000).selectExpr("1L AS conv_id", "id AS turn", "concat('c', id) AS call_id", "array(concat('c', id - 1)) AS after")
+    got = {r.call_id: r.level for r in chat.levels(calls).collect()}
+    assert got == {f"c{i}": i for i in range(1000)} and len(tables) < 16
+
+
+def test_tool_calls_of_very_long_texts_and_extra_columns(spark):
+    rows = [(1, 0, "user", "a" * 200_000, "p", 1), (1, 1, "assistant", "b" * 200_000, "q", 2)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, level string, nth bigint")
+    one, = chat.link(df).collect()
+    assert (one.status, one.level, one.valid) == ("linked", 0, False) and json.loads(one.json)["result"] == "b" * 200_000
+
+
 def test_tool_calls_of_an_empty_table(spark):
     assert chat.link(messages(spark, [])).count() == 0
 
