@@ -114,12 +114,12 @@ class EliasFano:
         high = np.searchsorted(self.before, i, side="right") - 1
         return (high.astype(_U) << _U(self.low_bits)) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1: the successor of its low bits among
-        the numbers of its high part."""
+    def find(self, values: np.ndarray, begin: np.ndarray | int = 0, stop: np.ndarray | int | None = None) -> np.ndarray:
+        """The place of each value between the places ``begin`` and ``stop``,
+        or -1: the successor of its low bits among the numbers of its high part there."""
         high = np.minimum(values >> _U(self.low_bits), _U(len(self.before) - 2)).astype(np.int64)
         low = values & _U((1 << self.low_bits) - 1)
-        first, last = self.before[high], self.before[high + 1]
+        first, last = np.maximum(self.before[high], begin), np.minimum(self.before[high + 1], self.n if stop is None else stop)
         end = last.copy()
         while (open_ := np.flatnonzero(first < last)).size:
             middle = (first[open_] + last[open_]) // 2
@@ -154,24 +154,32 @@ class Trie:
         return (EliasFano.encode(own, (1 << 64) - 1) + EliasFano.encode(first.astype(_U), len(context))
                 + EliasFano.encode((rank << _U(TAIL_BITS)) | tail, max(len(own), 1) << TAIL_BITS) + codes.tobytes())
 
+    def ranges(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where to where the successors of the contexts of some ranks lie, by the pointers."""
+        begin = self.pointers.at(rank).astype(np.int64)
+        behind = self.pointers.at(np.minimum(rank + 1, self.pointers.n - 1)).astype(np.int64)
+        return begin, np.where(rank + 1 < self.pointers.n, behind, self.successors.n)
+
     def lookup(self, context: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """Code of each bigram, 0 if unseen. The context's rank makes the
-        successor's place relative to the context's pointer."""
+        """Code of each bigram, 0 if unseen: the successor is sought between
+        its context's pointer and the next one."""
         out = np.zeros(len(context), dtype=np.uint8)
         rank = self.contexts.find(context)
         known = np.flatnonzero(rank >= 0)
-        place = self.successors.find((rank[known].astype(_U) << _U(TAIL_BITS)) | tail[known])
+        own, at = np.unique(rank[known], return_inverse=True)
+        begin, stop = self.ranges(own)
+        place = self.successors.find((rank[known].astype(_U) << _U(TAIL_BITS)) | tail[known], begin[at], stop[at])
         seen = place >= 0
         out[known[seen]] = self.codes[place[seen]]
         return out
 
     def children(self, context: int) -> np.ndarray:
         """Codes of one context's successors, by the pointers."""
-        rank = int(self.contexts.find(np.array([context], dtype=_U))[0])
-        if rank < 0:
+        rank = self.contexts.find(np.array([context], dtype=_U))
+        if rank[0] < 0:
             return self.codes[:0]
-        ends = [*self.pointers.at(np.arange(rank, min(rank + 2, self.pointers.n))).astype(int), self.successors.n]
-        return self.codes[ends[0]:ends[1]]
+        begin, stop = self.ranges(rank)
+        return self.codes[begin[0]:stop[0]]
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
