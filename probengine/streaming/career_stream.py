@@ -2,13 +2,16 @@
 
 The cleaning expressions and lookup joins are stateless, so they run
 unchanged on a streaming DataFrame (stream-static joins against the
-dimension tables). Career-to-date counts (W1-W3) need keyed state: per actor
-the attempts and makes seen so far live in ``applyInPandasWithState``; each
-micro-batch's rows of an actor are ordered by (date, play) and numbered on
-top of the stored totals. Events are assumed to arrive in time order per
-actor across micro-batches (within a micro-batch any order is fine). The
-rows of one actor in one micro-batch form one group, so the group size is
-bounded by the trigger size (``maxFilesPerTrigger``), not by the data.
+dimension tables). Career-to-date counts (W1-W3) need keyed state: the
+attempts and makes of every actor seen so far live in
+``applyInPandasWithState``; each micro-batch's rows of an actor are ordered by
+(date, play) and numbered on top of the stored totals. Events are assumed to
+arrive in time order per actor across micro-batches (within a micro-batch any
+order is fine). A group costs Python milliseconds whatever its size, so the
+state's key is a hash bucket of actors, not an actor: the number of groups is
+bounded, and one bucket's rows of a micro-batch are numbered together in a few
+array operations. A group holds a bucket's share of the trigger
+(``maxFilesPerTrigger``), its state a bucket's share of the actors.
 
 ``ordered_career_stream`` takes events in any order within a delay: a row waits in
 its actor's state until the watermark has passed its date, so its counts hold
@@ -25,6 +28,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +40,12 @@ from probengine.session import ensure_checkpoint_dir
 
 OUT_SCHEMA = ("attempt_id long, kicker_player_id long, game_date date, "
               "career_attempts double, career_makes double, career_fg_pct double")
-STATE_SCHEMA = "attempts long, makes long"
+NUMBERED_SCHEMA = OUT_SCHEMA.replace("game_date date", "day int")
+STATE_SCHEMA = "actors array<bigint>, attempts array<bigint>, makes array<bigint>"
+#: Hash buckets of actors; a checkpoint keeps the number it began with.
+BUCKETS = 2048
+#: The bucket of rows without an actor.
+NO_ACTOR = -1
 WAITING_SCHEMA = "attempts long, makes long, ids array<bigint>, days array<int>, plays array<bigint>, ys array<bigint>"
 #: The day of rows without a date: behind all others.
 NO_DAY = (1 << 31) - 1
@@ -45,19 +54,24 @@ DAY_MS = 86_400_000
 
 def _career_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches), ignore_index=True)
-    att0, mk0 = state.get if state.exists else (0, 0)
-    pdf = pdf.sort_values(["game_date", "play_id"], kind="mergesort")
-    y = pdf["y"].to_numpy()
-    before_n = att0 + pd.Series(range(len(pdf))).to_numpy()
-    before_y = mk0 + (y.cumsum() - y)
-    state.update((int(att0 + len(pdf)), int(mk0 + y.sum())))
-    att = before_n.astype(float)
-    mk = before_y.astype(float)
-    rate = mk / pd.Series(att).replace(0, 1).to_numpy()
-    yield pd.DataFrame({"attempt_id": pdf["attempt_id"].to_numpy(),
-                        "kicker_player_id": pdf["kicker_player_id"].to_numpy(),
-                        "game_date": pdf["game_date"].to_numpy(),
-                        "career_attempts": att, "career_makes": mk, "career_fg_pct": rate})
+    pdf = pdf.iloc[np.lexsort([pdf[c].to_numpy() for c in ("play_id", "no_play", "day", "actor")])]
+    actor, y, n = pdf["actor"].to_numpy(), pdf["y"].to_numpy(), len(pdf)
+    first = np.flatnonzero(np.append(True, actor[1:] != actor[:-1]))
+    sizes = np.diff(np.append(first, n))
+    known, *totals = (np.array(v, dtype=np.int64) for v in (state.get if state.exists else ([], [], [])))
+    actors = np.union1d(known, actor[first])
+    att, mk = (np.zeros(len(actors), dtype=np.int64) for _ in range(2))
+    att[np.searchsorted(actors, known)], mk[np.searchsorted(actors, known)] = totals
+    at, made = np.searchsorted(actors, actor[first]), np.cumsum(y) - y
+    before_n = np.repeat(att[at] - first, sizes) + np.arange(n)
+    before_y = np.repeat(mk[at] - made[first], sizes) + made
+    att[at] += sizes
+    mk[at] += np.add.reduceat(y, first)
+    state.update((actors.tolist(), att.tolist(), mk.tolist()))
+    named = actor if key[0] != NO_ACTOR else pd.array([pd.NA] * n, dtype="Int64")
+    yield pd.DataFrame({"attempt_id": pdf["attempt_id"].to_numpy(), "kicker_player_id": named, "day": pdf["day"].to_numpy(),
+                        "career_attempts": before_n.astype(float), "career_makes": before_y.astype(float),
+                        "career_fg_pct": before_y / np.maximum(before_n, 1)})
 
 
 def stream_attempts(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -81,10 +95,13 @@ def career_stream(attempts: DataFrame) -> DataFrame:
     from probengine.session import ship_package
     ship_package(attempts.sparkSession)
     df = clean.where_not_equal_keep_null(attempts, "field_goal_result", clean.BLOCKED)
-    df = df.select("attempt_id", "kicker_player_id", "game_date", "play_id",
+    actor = F.col("kicker_player_id").cast("bigint")
+    df = df.select(F.when(actor.isNull(), NO_ACTOR).otherwise(F.pmod(F.xxhash64(actor), F.lit(BUCKETS))).cast("int").alias("bucket"),
+                   F.coalesce(actor, F.lit(0)).alias("actor"), "attempt_id", F.coalesce(F.unix_date("game_date"), F.lit(NO_DAY)).alias("day"),
+                   F.col("play_id").isNull().alias("no_play"), F.coalesce("play_id", F.lit(0)).alias("play_id"),
                    F.coalesce(F.col("field_goal_result") == "made", F.lit(False)).cast("long").alias("y"))
-    return df.groupBy("kicker_player_id").applyInPandasWithState(
-        _career_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    out = df.groupBy("bucket").applyInPandasWithState(_career_state, NUMBERED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("day", F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day"))).withColumnRenamed("day", "game_date")
 
 
 def _waiting_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
