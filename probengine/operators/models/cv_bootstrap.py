@@ -5,7 +5,10 @@ A candidate is a strength C and a penalty (L1 or L2). A replicate is a column of
 Poisson(1) multiplicities (V6), the same draws for every candidate. Newton's
 method runs for all models at once: a pass over the rows forms the products of
 their standardised features once per fold and multiplies them by the weights
-of all the fold's models in one matrix product. Rows weigh, as in the
+of all the fold's points in one matrix product. The models of a fold and
+replicate share the loss and differ in strength and penalty only, so those
+that lie together step from one evaluated point (``cv_frame.shared_points``):
+the more rows, the fewer points. Rows weigh, as in the
 reference, multiplicity x balanced weight of the resample x balanced weight of the
 fold's training rows.
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probengine.operators.folds import SEED, poisson_multiplicity
-from probengine.operators.models.cv_frame import FoldFrame, fold_frame, summed
+from probengine.operators.models.cv_frame import CLOSE, FoldFrame, fold_frame, shared_points, summed
 from probengine.operators.models.linear import BOOTSTRAP_REPLICATES
 
 # Fixed values that must equal the reference's for equal results.
@@ -103,7 +106,7 @@ class CvBootstrap:
 
 def cv_bootstrap_batched(folded: DataFrame, features: Sequence[str], label: str, key: str, candidates: Sequence[dict],
                          category: str | None = None, fold: str = "fold", n_folds: int = 5, replicates: int = BOOTSTRAP_REPLICATES,
-                         seed: int = SEED, max_iter: int = 100, tol: float = 1e-8, keep: Sequence[str] = ()) -> CvBootstrap:
+                         seed: int = SEED, max_iter: int = 100, tol: float = CLOSE, keep: Sequence[str] = ()) -> CvBootstrap:
     """``candidates``: dicts of ``C`` and ``penalty`` ("l1" or "l2")."""
     mult = [f"_m{b}" for b in range(replicates)]
     drawn = folded.withColumns({c: poisson_multiplicity(F.col(key), F.lit(b), seed).cast("double") for b, c in enumerate(mult)})
@@ -131,57 +134,76 @@ def cv_bootstrap_batched(folded: DataFrame, features: Sequence[str], label: str,
         mean, sd = moments[f]
         return np.hstack([np.ones((len(pdf), 1)), (pdf[columns[f]].to_numpy(dtype=float) - mean) / sd])
 
-    open_folds = sorted(weight)
-    beta = {f: np.zeros((d, n_models)) for f in open_folds}
-    before = {f: np.zeros((d, n_models)) for f in open_folds}
-    least = {f: np.full(n_models, np.inf) for f in open_folds}
+    beta = {f: np.zeros((d, n_models)) for f in sorted(weight)}
+    before = {f: np.zeros((d, n_models)) for f in beta}
+    least = {f: np.full(n_models, np.inf) for f in beta}
+    moved = {f: np.zeros(n_models) for f in beta}
+    open_models = {f: np.arange(n_models) for f in beta}
+    seen: dict[tuple[int, int], np.ndarray] = {}          # (fold, replicate): the Hessian at its last point
     block = len(upper[0]) + d + 1
     passes = 0
-    while open_folds and passes < max_iter:
+    while open_models and passes < max_iter:
         passes += 1
-        now = {f: beta[f] for f in open_folds}
-
-        def part(pdf: pd.DataFrame, now=now) -> np.ndarray:
-            out = np.zeros((len(now), block, n_models))
+        points, steps_from, now, total = {}, {}, {}, 0
+        for f, ms in open_models.items():
+            chosen, of = [], np.zeros(len(ms), dtype=np.int64)
+            for r in range(replicates):
+                mine = np.flatnonzero(of_rep[ms] == r)
+                kept, near = shared_points(beta[f][:, ms[mine]].T, moved[f][ms[mine]], seen.get((f, r)))
+                of[mine] = len(chosen) + near
+                chosen += ms[mine][kept].tolist()
+            points[f], steps_from[f] = np.array(chosen), of
+            now[f] = total, beta[f][:, chosen], of_rep[chosen]
+            total += block * len(chosen)
+
+        def part(pdf: pd.DataFrame, now=now, total=total) -> np.ndarray:
+            out = np.zeros(total)
             y_all, fold_of, reps = pdf["_y"].to_numpy(), pdf["_f"].to_numpy(), pdf[mult].to_numpy()
-            for i, (f, b) in enumerate(now.items()):
+            for f, (o, b, drawn) in now.items():
                 own = fold_of != f
                 if not own.any():
                     continue
                 x, y = standardised(pdf[own], f), y_all[own]
-                s = (reps[own] * np.where((y == 1.0)[:, None], weight[f][1], weight[f][0]))[:, of_rep]
+                s = (reps[own] * np.where((y == 1.0)[:, None], weight[f][1], weight[f][0]))[:, drawn]
                 eta = x @ b
                 mu = 1.0 / (1.0 + np.exp(-eta))
-                out[i, :len(upper[0])] = (x[:, upper[0]] * x[:, upper[1]]).T @ (s * mu * (1 - mu))
-                out[i, len(upper[0]):-1] = x.T @ (s * (mu - y[:, None]))
-                out[i, -1] = (s * (np.logaddexp(0.0, eta) - y[:, None] * eta)).sum(axis=0)
-            return out.ravel()
-
-        got = summed(rows, part, len(now) * block * n_models).reshape(len(now), block, n_models)
-        still = []
-        for i, f in enumerate(now):
-            b = beta[f]
-            size = np.where(lasso, np.abs(b).sum(axis=0), 0.5 * (b * b).sum(axis=0))
-            objective = strength * got[i, -1] + size
-            worse = objective > least[f] + 1e-10 * np.abs(least[f])
-            hess = np.zeros((d, d, n_models))
-            hess[upper] = strength * got[i, :len(upper[0])]
-            hess[upper[1], upper[0]] = hess[upper]
-            grad = strength * got[i, len(upper[0]):-1]
-            new = b.copy()
-            ridge = ~lasso
+                sums = out[o:o + block * len(drawn)].reshape(block, -1)
+                sums[:len(upper[0])] = (x[:, upper[0]] * x[:, upper[1]]).T @ (s * mu * (1 - mu))
+                sums[len(upper[0]):-1] = x.T @ (s * (mu - y[:, None]))
+                sums[-1] = (s * (np.logaddexp(0.0, eta) - y[:, None] * eta)).sum(axis=0)
+            return out
+
+        got = summed(rows, part, total)
+        still = {}
+        for f, ms in open_models.items():
+            o, at, drawn = now[f]
+            sums = got[o:o + block * len(drawn)].reshape(block, -1)
+            curve = np.zeros((d, d, len(drawn)))
+            curve[upper] = sums[:len(upper[0])]
+            curve[upper[1], upper[0]] = curve[upper]
+            seen.update({(f, r): curve[:, :, j] for j, r in enumerate(drawn.tolist())})
+            of, c, l1 = steps_from[f], strength[ms], lasso[ms]
+            p, h = at[:, of], curve[:, :, of]
+            size = np.where(l1, np.abs(p).sum(axis=0), 0.5 * (p * p).sum(axis=0))
+            objective = c * sums[-1, of] + size
+            worse = objective > least[f][ms] + 1e-10 * np.abs(least[f][ms])
+            worse = worse[np.searchsorted(ms, points[f])][of]           # a point is judged by the model whose it is
+            hess, grad = c * h, c * sums[len(upper[0]):-1, of]
+            new = p.copy()
+            ridge = ~l1
             if ridge.any():
                 a = np.moveaxis(hess[:, :, ridge], 2, 0) + np.eye(d)
-                new[:, ridge] -= np.linalg.solve(a, (grad[:, ridge] + b[:, ridge]).T[:, :, None])[:, :, 0].T
-            if lasso.any():
-                new[:, lasso] = l1_step(b[:, lasso], grad[:, lasso], hess[:, :, lasso])
-            step = np.where(worse, np.inf, np.abs(new - b).max(axis=0))
-            beta[f] = np.where(worse, (b + before[f]) / 2, new)
-            before[f] = np.where(worse, before[f], b)
-            least[f] = np.where(worse, least[f], objective)
-            if float(step.max()) >= tol:
-                still.append(f)
-        open_folds = still
+                new[:, ridge] -= np.linalg.solve(a, (grad[:, ridge] + p[:, ridge]).T[:, :, None])[:, :, 0].T
+            if l1.any():
+                new[:, l1] = l1_step(p[:, l1], grad[:, l1], hess[:, :, l1])
+            step = np.sqrt(np.maximum(np.einsum("im,ijm,jm->m", new - p, h, new - p), 0.0) / np.maximum(h[0, 0], 1e-300))
+            beta[f][:, ms] = np.where(worse, (p + before[f][:, ms]) / 2, new)
+            before[f][:, ms] = np.where(worse, before[f][:, ms], p)
+            least[f][ms] = np.where(worse, least[f][ms], objective)
+            moved[f][ms] = np.where(worse, 0.0, step)          # after a halved step a model is evaluated at its own point
+            if (worse | (step >= tol)).any():
+                still[f] = ms[worse | (step >= tol)]
+        open_models = still
 
     def errors(pdf: pd.DataFrame) -> np.ndarray:
         out = np.zeros((n_folds, len(kinds) + 1))
