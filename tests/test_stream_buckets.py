@@ -1,6 +1,7 @@
 """The stream's state is kept by buckets of actors, not by actor."""
 
 import datetime as dt
+import uuid
 
 from probengine.session import ensure_checkpoint_dir
 from probengine.streaming import career_stream as CS
@@ -16,8 +17,9 @@ def test_stream_state_has_a_bounded_number_of_groups(spark, tmp_path, monkeypatc
     for i, half in enumerate(halves):
         spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = CS.run_to_table(CS.career_stream(stream), f"buckets-{tmp_path.name}").collect()
-    state = spark.read.format("statestore").load(f"{ensure_checkpoint_dir(spark).rstrip('/')}/buckets-{tmp_path.name}/state")
+    name = f"buckets-{uuid.uuid4().hex}"
+    got = CS.run_to_table(CS.career_stream(stream), name).collect()
+    state = spark.read.format("statestore").load(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/state")
     assert 0 < state.count() <= 4 + 1
     want, seen = {}, {}
     for half in halves:
