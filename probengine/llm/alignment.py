@@ -5,11 +5,11 @@ U+2581 and puts one before the text, so A encodes a blank and the text. Both
 then cover the same bytes. Offsets where tokens of both end cut the tokens into
 groups; an A and a B token are linked where their bytes overlap.
 
-Method: a text is tokenised whole by both. A shared end before a token that
-starts with a blank in A and in B is an anchor; the anchors split the document
-into windows of token ids, mostly one word long. A window's alignment depends
-only on its ids: a block's windows are memoised by their two id tuples, and each
-distinct one is aligned once, all of them in one numpy pass.
+Method: both tokenizers cut the text before a blank that follows another
+character than white space, so tokens of both end there. These cuts are anchors: they split the
+document into windows, mostly one word long. A window's tokens and alignment
+depend only on its word: a worker memoises words, and each new one of a block is
+encoded and aligned once, all of them in one numpy pass.
 
 Documents are gathered into blocks of at most ``BLOCK_ROWS`` rows and about
 ``BLOCK_BYTES`` bytes of text (one longer text makes a block of its own). A
@@ -33,6 +33,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,43 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from probengine.llm import token_counts
-from probengine.llm.common import Memo, prepare, written
+from probengine.llm.common import prepare, written
 from probengine.llm.packing import Encoder, _byte_alphabet
+from probengine.llm.segments import _SPACE_AFTER_SPACE, blank_words
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 2 << 20
-#: Words in a worker's memo of either tokenizer.
+#: Words in a worker's memo, and an eighth of their links; beyond it the memo is emptied behind the block.
 MEMO = 1 << 18
+#: Words that are encoded as one text; longer texts cost the libraries more a word.
+TOGETHER = 128
 #: Bits of a B id in a pair's code.
 _B_BITS = 32
 
 
+class Numbers(dict):
+    """Numbers of keys, in the order of their first use."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+def segments(text: str) -> list[str]:
+    """Words of a text, each to be read with a blank before it: both tokenizers
+    cut a blank and the text before a blank that follows another character than
+    white space. A text that holds the mark itself is not cut."""
+    if token_counts.MARK in text:
+        return [text]
+    if text.startswith(" ") or _SPACE_AFTER_SPACE.search(text):
+        return blank_words(" " + text)[1]
+    return text.split(" ")
+
+
 class Aligner:
-    """Both tokenizers and the alignment of token ids."""
+    """Both tokenizers, and the aligned windows of the words seen so far."""
 
     def __init__(self, spec: str, model: bytes):
-        self.encoder = Encoder(spec, limit=MEMO)
+        self.ranked = Encoder(spec).ranked
         vocab, alphabet = json.loads(spec)["model"]["vocab"], _byte_alphabet()
         a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -66,86 +89,116 @@ class Aligner:
         self.processor = token_counts.load(model)
         pieces = [self.processor.id_to_piece(i) for i in range(len(self.processor))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(token_counts.MARK, " ").encode() for i, p in enumerate(pieces)]
-        blank = array("I", [self.processor.piece_to_id(token_counts.MARK)]).tobytes()
-        self.b_words = Memo(lambda w: array("I", self.processor.encode(w)).tobytes(), {"": blank}, limit=MEMO)
+        self.blank = [self.processor.piece_to_id(token_counts.MARK)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (a_bytes, self.b_bytes))
-        self.a_blank, self.b_blank = (np.array([t[:1] == b" " for t in x]) for x in (a_bytes, self.b_bytes))
         # each id as it is written before the next one of its kind, or as the last of its side of a group
         sizes = len(a_bytes), len(pieces)
         self.written = [f"{i}{end}" for n, (inner, last) in zip(sizes, (",|", ",;"), strict=True) for end in (inner, last) for i in range(n)]
         self.written_sizes = np.array(list(map(len, self.written)), dtype=np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that a memo lacks at once, as one text each: no token of
-        either tokenizer crosses a blank between words, so its ids fall apart at the words' ends."""
-        for memo, encode, sizes, lead in ((self.encoder.blank, self.encoder.ranked.encode_ordinary, self.a_sizes, 1),
-                                          (self.b_words, self.processor.encode, self.b_sizes, 1)):
-            new = [w for w in words if w not in memo]
-            if not new:
-                continue
-            if len(memo) + len(new) > memo.limit:
-                memo.clear()
-                memo.update(memo.first)
-                new = list(words)
-            joined = " ".join(new)
-            ids = array("I", encode(" " + joined if memo is self.encoder.blank else joined))
-            ends = np.cumsum([len(w.encode()) + lead for w in new])
-            cuts = (np.searchsorted(np.cumsum(sizes[np.frombuffer(ids, dtype=np.uint32)]), ends) + 1) * 4
-            flat, at = ids.tobytes(), 0
-            for w, cut in zip(new, cuts.tolist(), strict=True):
-                memo[w] = flat[at:cut]
-                at = cut
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memo, which bounds its memory and changes no value."""
+        #: Of each word its row, and of each row n_a, n_b, n_groups, n_links, the groups and where its links begin.
+        self.rows, self.counts, self.groups, self.starts = Numbers(), np.empty((4, 0), dtype=np.int32), [], np.empty(0, dtype=np.int64)
+        #: Numbers of the links' codes, row by row, and the codes by their numbers.
+        self.links, self.numbers, self.codes = np.empty(0, dtype=np.int32), Numbers(), np.empty(0, dtype=np.int64)
+
+    def learn(self) -> None:
+        """Encode and align the words that ``rows`` has numbered since the last call."""
+        new = list(islice(self.rows, len(self.groups), None))
+        if not new:
+            return
+        a, n_a, b, n_b = self.encoded(new)
+        groups, n_groups, n_links, codes = self.align(a, n_a, b, n_b)
+        found, which = np.unique(codes, return_inverse=True)
+        self.groups += groups
+        self.counts = np.concatenate([self.counts, np.array([n_a, n_b, n_groups, n_links], dtype=np.int32)], axis=1)
+        self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(n_links) - n_links])
+        self.links = np.concatenate([self.links, np.array(list(map(self.numbers.__getitem__, found.tolist())), dtype=np.int32)[which]])
+        self.codes = np.fromiter(self.numbers, dtype=np.int64, count=len(self.numbers))
+
+    def _both(self, text: str) -> tuple[list[int], list[int]]:
+        return self.ranked.encode_ordinary(" " + text), self.processor.encode(text) or self.blank
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A (for a blank and the word) and of B, word by word, and their
+        numbers. Words are encoded many at once, as one text: its ids fall apart at
+        their ends. A word behind which the next blank is no cut ends its text, one that holds the mark is a text
+        of its own. A word whose joined bytes differ in A or in B has no ids."""
+        cuts = {len(words), *range(0, len(words), TOGETHER)}
+        for i, w in enumerate(words):
+            if token_counts.MARK in w:
+                cuts.update((i, i + 1))
+            elif not w or w[-1].isspace():
+                cuts.add(i + 1)
+        a_ids, b_ids = array("I"), array("I")
+        lengths = np.array(list(map(len, map(str.encode, words))), dtype=np.int64) + 1
+        cuts = sorted(cuts)
+        todo = list(zip(cuts, cuts[1:], strict=False))[::-1]
+        while todo:
+            start, end = todo.pop()
+            text = " ".join(words[start:end])
+            a, b = self._both(text)
+            whole = (" " + text).encode()
+            # the ids of A always give its bytes back, so their number of bytes is compared only
+            if self.a_sizes[a].sum() == len(whole) and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
+                a_ids.extend(a)
+                b_ids.extend(b)
+            elif end - start > 1:
+                todo += [(i, i + 1) for i in reversed(range(start, end))]
+            else:
+                lengths[start] = 0
+        ends, out = np.cumsum(lengths), []
+        for ids, sizes in ((a_ids, self.a_sizes), (b_ids, self.b_sizes)):
+            ids = np.frombuffer(ids, dtype=np.uint32).astype(np.int64)
+            out += [ids, np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, side="right"), prepend=0)]
+        return tuple(out)
 
     def tokens(self, text: str) -> tuple[bytes, bytes]:
         """Ids of A (for a blank and the text) and of B, as 32-bit bytes."""
-        words = text.split(" ")
-        if token_counts.MARK in text or "" in words:
-            words = [run[1:] for run in token_counts._RUNS.findall(" " + text.replace(token_counts.MARK, " "))]
-        return self.encoder._plain(" " + text), b"".join(map(self.b_words.__getitem__, words))
-
-    def checked(self, text: str | None) -> tuple[bytes, bytes]:
-        """``tokens``, or none if the text has none. The ids of A always give
-        its bytes back, so their number of bytes is compared only."""
-        if not text:
-            return b"", b""
-        a, b = self.tokens(text)
-        whole = (" " + text).encode()
-        same = (int(self.a_sizes[np.frombuffer(a, dtype=np.uint32)].sum()) == len(whole)
-                and b"".join(map(self.b_bytes.__getitem__, memoryview(b).cast("I").tolist())) == whole)
-        return (a, b) if same else (b"", b"")
-
-    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows begin, in A and in B: behind every shared end before
-        a token that starts with a blank in both."""
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        at_b = np.searchsorted(b_ends, a_ends)
-        at_a = np.flatnonzero(b_ends[at_b] == a_ends)[:-1] if len(a) else np.empty(0, dtype=np.int64)
-        at_a, at_b = at_a + 1, at_b[at_a] + 1
-        both = self.a_blank[a[at_a]] & self.b_blank[b[at_b]]
-        return np.concatenate([[0], at_a[both]]), np.concatenate([[0], at_b[both]])
+        if token_counts.MARK in text:
+            a, b = self._both(text)
+        else:
+            a, _, b, _ = self.encoded(segments(text))
+        return np.asarray(a, dtype=np.uint32).tobytes(), np.asarray(b, dtype=np.uint32).tobytes()
 
-    def align(self, windows: list[tuple[bytes, bytes]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each window its groups, written out, their number and the number
-        of its links, and the codes of all links, window by window. The windows are
-        laid behind each other: A and B cover the same bytes, every end of either closes one link,
-        every end of both closes a group."""
-        a, b = (np.frombuffer(b"".join(w[i] for w in windows), dtype=np.uint32).astype(np.int64) for i in (0, 1))
+        of its links, and the codes of all links, window by window. The windows' ids are
+        given behind each other: A and B cover the same bytes, every end of either closes one link,
+        every end of both closes a group. A window may have no ids."""
+        if not len(a):
+            return [""] * len(n_a), np.zeros_like(n_a), np.zeros_like(n_a), a
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        last = a_ends[np.cumsum([len(w[0]) // 4 for w in windows]) - 1]
-        ends = np.union1d(a_ends, b_ends)
+        last = np.concatenate([[0], a_ends])[np.cumsum(n_a)]
+        ends = _distinct(np.concatenate([a_ends, b_ends]))
         codes = a[np.searchsorted(a_ends, ends)] << _B_BITS | b[np.searchsorted(b_ends, ends)]
-        shared = a_ends[b_ends[np.searchsorted(b_ends, a_ends)] == a_ends]
-        n_links, n_groups = (np.bincount(np.searchsorted(last, x), minlength=len(windows)) for x in (ends, shared))
+        a_last, b_last = (x[np.searchsorted(x, y)] == y for x, y in ((b_ends, a_ends), (a_ends, b_ends)))
+        shared = a_ends[a_last]
+        n_links, n_groups = (np.bincount(np.searchsorted(last, x), minlength=len(n_a)) for x in (ends, shared))
         # a group's ids of A, then of B: each id goes behind those of the other side that come first
-        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
         items = np.empty(len(a) + len(b), dtype=np.int64)
-        n_a, n_b = len(self.a_sizes), len(self.b_sizes)
-        a_last, b_last = np.isin(a_ends, shared, assume_unique=True), np.isin(b_ends, shared, assume_unique=True)
-        items[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + n_a * a_last
-        items[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 2 * n_a + b + n_b * b_last
+        n_a_ids, n_b_ids = len(self.a_sizes), len(self.b_sizes)
+        items[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + n_a_ids * a_last
+        items[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 2 * n_a_ids + b + n_b_ids * b_last
         text = "".join(map(self.written.__getitem__, items.tolist()))
-        cuts = np.cumsum(self.written_sizes[items])[np.cumsum([len(w[0]) + len(w[1]) for w in windows]) // 4 - 1].tolist()
-        return [text[s:e - 1] for s, e in zip([0, *cuts], cuts, strict=False)], n_groups, n_links, codes
+        cuts = np.concatenate([[0], np.cumsum(self.written_sizes[items])])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        return [text[s:max(s, e - 1)] for s, e in zip(cuts, cuts[1:], strict=False)], n_groups, n_links, codes
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=values[:1] - 1) > 0]
+
+
+def _numbered(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below ``bound``, sorted, and of each value its place there."""
+    used = np.zeros(bound, dtype=bool)
+    used[values] = True
+    return np.flatnonzero(used), (np.cumsum(used) - 1)[values]
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -156,32 +209,33 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def block_row(aligner: Aligner, number: int, keys: list, texts: list[str | None]) -> dict:
-    """Documents of one block, as lists of the block's distinct windows."""
-    words = set()
-    for t in texts:
-        words.update((t or "").split(" "))
-    aligner.learn({w for w in words if w and len(w) <= 64 and not w[-1].isspace() and not w[0].isspace() and token_counts.MARK not in w})
-    found = [aligner.checked(t) for t in texts]
-    left, right = b"".join(f[0] for f in found), b"".join(f[1] for f in found)
-    n_a, n_b = (np.array([len(f[i]) // 4 for f in found], dtype=np.int64) for i in (0, 1))
-    # every document starts with a blank in both, so its start is an anchor
-    at_a, at_b = aligner.anchors(np.frombuffer(left, dtype=np.uint32), np.frombuffer(right, dtype=np.uint32))
-    place: dict[tuple[bytes, bytes], int] = {}
-    cuts = zip((at_a * 4).tolist(), [*(at_a[1:] * 4).tolist(), len(left)], (at_b * 4).tolist(), [*(at_b[1:] * 4).tolist(), len(right)], strict=True)
-    words = [place.setdefault((left[s:e], right[u:v]), len(place)) for s, e, u, v in cuts] if left else []
-    words = np.array(words, dtype=np.int64)
-    sizes = np.diff(np.searchsorted(at_a, np.concatenate([[0], np.cumsum(n_a)])) if left else np.zeros(len(n_a) + 1, dtype=np.int64))
-    none = np.empty(0, dtype=np.int64)
-    written_groups, n_groups, n_links, codes = aligner.align(list(place)) if place else ([], none, none, none)
-    pairs, linked = np.unique(codes, return_inverse=True)
-    # each document's distinct windows, then its distinct pairs
-    held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(place)) + words)
-    doc, word = np.divmod(held, max(1, len(place)))
+    """Documents of one block, as lists of the block's distinct words."""
+    row_of = aligner.rows.__getitem__
+    found = [np.array(list(map(row_of, segments(t) if t else ())), dtype=np.int64) for t in texts]
+    aligner.learn()
+    words, sizes = np.concatenate(found), np.array(list(map(len, found)), dtype=np.int64)
+    # a text with a word that has no tokens has none
+    lost = _sums(aligner.counts[0][words] == 0, sizes) > 0
+    if lost.any():
+        words, sizes = words[~np.repeat(lost, sizes)], np.where(lost, 0, sizes)
+    place, words = _numbered(words, len(aligner.groups))
+    counts = aligner.counts[:, place].astype(np.int64)
+    n_a, n_b = (_sums(c[words], sizes) for c in counts[:2])
+    n_groups, n_links = counts[2:]
+    starts = np.cumsum(n_links) - n_links
+    linked = aligner.links[np.repeat(aligner.starts[place] - starts, n_links) + np.arange(n_links.sum())]
+    pairs, linked = _numbered(linked, len(aligner.codes))
+    order = np.argsort(aligner.codes[pairs])
+    pairs, linked = aligner.codes[pairs[order]], np.argsort(order)[linked]
+    # each document's distinct words, then its distinct pairs
+    doc, word = np.divmod(_distinct(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(place)) + words), max(1, len(place)))
     n = n_links[word]
-    starts = np.cumsum(n_links)[word] - n
-    flat = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + linked[flat])
+    flat = np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held = _distinct(np.repeat(doc, n) * max(1, len(pairs)) + linked[flat])
     docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+    written_groups = list(map(aligner.groups.__getitem__, place.tolist()))
+    if len(aligner.rows) > MEMO or len(aligner.links) > 8 * MEMO:
+        aligner.forget()
     return {"block": number, "keys": keys, "pairs": pairs.tobytes(), "docs": docs.astype(np.int32).tobytes(),
             "packed": pack(written_groups, n_a, n_b, sizes, words, n_groups, n_links, linked)}
 

@@ -116,3 +116,35 @@ def test_awkward_rows(spark, tmp_path):
     assert sorted((r.doc_id is None, r.n_a, r.count_sum) for r in out) == sorted([(True, 2, 8)] * 2 + [(False, 2, 8)] * 2 + [(False, 0, 0)] * 2)
     assert {r.groups for r in out if r.n_a} == {"257|264;275|287"}
     assert run(spark, tmp_path, documents(spark, ["x"]).where("doc_id < 0")) == []
+
+
+def test_a_known_word_is_neither_encoded_nor_aligned_again(monkeypatch):
+    aligner, calls = _aligner(), []
+    texts = [" ".join(f"{c}{i}" for i in range(3000)) for c in ("zq", "qz", "zq")]
+    encode = aligner.processor.encode
+    monkeypatch.setattr(aligner, "processor", type("Counted", (), {"encode": staticmethod(lambda text: calls.append(len(text)) or encode(text))}))
+    first = alignment.block_row(aligner, 0, [0, 1, 2], texts)
+    assert len(texts[0]) * 2 - 100 < sum(calls) < len(texts[0]) * 2 + 10    # less the blanks between calls
+    assert max(calls) < 2000        # the libraries take longer a word for long texts
+    calls.clear()
+    monkeypatch.setattr(aligner, "align", None)
+    assert alignment.block_row(aligner, 0, [0, 1, 2], texts) == first and calls == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="abé  \n\t▁'1日\x85　", max_size=30), min_size=1, max_size=8))
+def test_a_block_equals_the_plain_version(libraries, texts):
+    for memo in (1 << 18, 0):       # the worker's words are kept, or forgotten behind the block
+        with pytest.MonkeyPatch.context() as patched:
+            patched.setattr(alignment, "MEMO", memo)
+            row = alignment.block_row(_aligner(), 0, list(range(len(texts))), texts)
+        found, (n_a, n_b, sizes, words, n_groups, n_links, _) = alignment.unpack(row["packed"])
+        at = 0
+        for (left, right, links, groups), a, b, n in zip(_plain_rows(libraries, texts), n_a, n_b, sizes, strict=True):
+            own, at = words[at:at + n], at + n
+            assert (a, b, n_links[own].sum(), n_groups[own].sum()) == (left, right, links, groups[0])
+            assert hashlib.sha256(";".join(map(found.__getitem__, own)).encode()).hexdigest() == groups[1] or not a
+
+
+def _plain_rows(libraries, texts):
+    return [(w[0], w[1], w[3], (w[2], w[6])) for w in plain(libraries, texts)]
